@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
     """The batches, cut so that each holds about SLICE_BYTES of the column."""
     for batch in batches:
         start, size = 0, 0
-        for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)):
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)):
             if size and size + n > SLICE_BYTES:
                 yield batch.slice(start, i - start)
                 start, size = i, 0

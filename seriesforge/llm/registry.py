@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.llm import exact_dedup, sharding
+from seriesforge.llm import exact_dedup, html_text, packing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_html_text": html_text.query,
         "op5_sharding": sharding.query,
         "op6_exact_dedup": exact_dedup.query,
+        "op9_packing": packing.query,
     }
 
 
