@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.llm import exact_dedup, html_text, packing, sharding
+from seriesforge.llm import decontaminate, exact_dedup, html_text, near_dedup, packing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_near_dedup": near_dedup.query,
         "op4_html_text": html_text.query,
         "op5_sharding": sharding.query,
         "op6_exact_dedup": exact_dedup.query,
+        "op7_decontamination": decontaminate.query,
         "op9_packing": packing.query,
     }
 
