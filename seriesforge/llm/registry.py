@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.llm import decontaminate, exact_dedup, html_text, near_dedup, packing, sharding
+from seriesforge.llm import decontaminate, exact_dedup, html_text, near_dedup, packing, pii, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_exact_dedup": exact_dedup.query,
         "op7_decontamination": decontaminate.query,
         "op9_packing": packing.query,
+        "op10_pii": pii.query,
     }
 
 
