@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.llm import decontaminate, exact_dedup, html_text, near_dedup, packing, pii, sharding
+from seriesforge.llm import decontaminate, exact_dedup, html_text, language, near_dedup, packing, pii, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language": language.query,
         "op3_near_dedup": near_dedup.query,
         "op4_html_text": html_text.query,
         "op5_sharding": sharding.query,
         "op6_exact_dedup": exact_dedup.query,
         "op7_decontamination": decontaminate.query,
+        "op8_secrets": secrets.query,
         "op9_packing": packing.query,
         "op10_pii": pii.query,
     }
