@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.llm import decontaminate, exact_dedup, html_text, language, near_dedup, packing, pii, secrets, sharding
+from seriesforge.llm import decontaminate, exact_dedup, html_text, language, near_dedup, packing, pii, quality, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.query,
         "op2_language": language.query,
         "op3_near_dedup": near_dedup.query,
         "op4_html_text": html_text.query,
