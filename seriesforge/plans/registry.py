@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.plans import series
+from seriesforge.plans import series, tables
 
-MODULES = (series,)
+MODULES = (series, tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
