@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.plans import series, tables
+from seriesforge.plans import circles, series, tables
 
-MODULES = (series, tables)
+MODULES = (series, tables, circles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
