@@ -71,12 +71,12 @@ SELECT g, id AS cluster, round(x, 6) AS x, round(y, 6) AS y, round(r, 6) AS r FR
 
 
 def nms_temporal(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.leader_clusters(_circles(spark, d), ["g"], "ord").withColumn("frames", F.lit(30))
+    rows = c.leader_clusters(_circles(spark, d), ["g"], "ord").withColumn("frames", F.lit(20))
     return c.temporal_selection(rows, ["g"], "frames", low=2).select("g", "cluster", *r6("x", "y", "r"))
 
 
 NMS_TEMPORAL = f"""WITH RECURSIVE {CLUSTERS},
-s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY support DESC, r DESC, cluster) AS rk0 FROM cs WHERE support >= least(40, greatest(2, ceil(30 * 0.07::DOUBLE)))),
+s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY support DESC, r DESC, cluster) AS rk0 FROM cs WHERE support >= least(40, greatest(2, ceil(20 * 0.07::DOUBLE)))),
 f AS (SELECT g, median(r) AS ref FROM s WHERE rk0 <= 12 GROUP BY g),
 v AS (SELECT s.g, cluster AS id, x, y, r, row_number() OVER (PARTITION BY s.g ORDER BY rk0) AS rk FROM s JOIN f ON f.g = s.g WHERE r BETWEEN 0.70::DOUBLE * ref AND 1.30::DOUBLE * ref), {greedy("v", DISTANCE + " < 0.80::DOUBLE * least(a.r, b.r)")}
 SELECT g, id AS cluster, round(x, 6) AS x, round(y, 6) AS y, round(r, 6) AS r FROM ke JOIN v USING (g, id)
@@ -84,15 +84,15 @@ SELECT g, id AS cluster, round(x, 6) AS x, round(y, 6) AS y, round(r, 6) AS r FR
 
 
 def layout_select(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.leader_clusters(_circles(spark, d), ["g"], "ord").withColumn("frames", F.lit(4)).withColumn("target", (3 + F.col("g") % 6).cast("int"))
+    rows = c.leader_clusters(_circles(spark, d), ["g"], "ord").withColumn("frames", F.lit(3)).withColumn("target", (3 + F.col("g") % 6).cast("int"))
     rows = rows.withColumn("evidence_p90", (F.col("cluster") * 7 % 30).cast("double")).withColumn("evidence_median", (F.col("cluster") * 3 % 20).cast("double"))
     return c.layout_selection(rows, ["g"], "frames", "target", low=2).select("g", "cluster", *r6("x", "y", "r"), "factor")
 
 
 LAYOUT_SELECT = f"""WITH RECURSIVE {CLUSTERS},
-f AS (SELECT g, median(r) AS ref FROM cs WHERE support >= 4 * 0.55::DOUBLE GROUP BY g),
+f AS (SELECT g, median(r) AS ref FROM cs WHERE support >= 3 * 0.55::DOUBLE GROUP BY g),
 s AS (SELECT cs.g AS g0, cluster, x, y, r, ref, 3 + cs.g % 6 AS target, round(ln(1 + support) + 0.08::DOUBLE * (cluster * 7 % 30) + 0.03::DOUBLE * (cluster * 3 % 20) - 0.6::DOUBLE * abs(r - ref) / ref, 9) AS score
-  FROM cs JOIN f ON f.g = cs.g WHERE support >= greatest(2, ceil(4 * 0.04::DOUBLE)) AND r BETWEEN 0.78::DOUBLE * ref AND 1.22::DOUBLE * ref),
+  FROM cs JOIN f ON f.g = cs.g WHERE support >= greatest(2, ceil(3 * 0.04::DOUBLE)) AND r BETWEEN 0.78::DOUBLE * ref AND 1.22::DOUBLE * ref),
 v AS (SELECT g0 * 1000 + (fac * 100)::INT AS g, g0, fac, cluster AS id, x, y, r, ref, target, row_number() OVER (PARTITION BY g0, fac ORDER BY score DESC, cluster) AS rk FROM s, (VALUES (1.85::DOUBLE), (1.70), (1.55), (1.40)) q(fac)),
 {greedy("v", DISTANCE + " < b.fac * b.ref", "b.target")},
 o AS (SELECT v.* FROM ke JOIN v USING (g, id) QUALIFY count(*) OVER (PARTITION BY v.g) = target)
