@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.plans import circles, rasters, series, tables
+from seriesforge.plans import circles, prepare, rasters, series, tables
 
-MODULES = (series, tables, circles, rasters)
+MODULES = (series, tables, circles, rasters, prepare)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
