@@ -163,27 +163,35 @@ def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair of different components that may reach the threshold: their rarest shingles meet."""
+    """Every pair of different components that may reach the threshold: their rarest shingles meet.
+
+    Shingles are put in one order for all sets: first those that a single
+    component holds, then by rarity. Sets at the threshold share a shingle among
+    the first n - threshold * n + 1 of each, and what follows their first common
+    one must suffice for the overlap. Shingles of a single component join
+    nothing, so only their number is kept.
+    """
 
     def explode(b: pa.RecordBatch) -> pa.RecordBatch:
         held = [np.frombuffer(x, np.int64) for x in b["set"].to_pylist()]
-        at = np.repeat(np.arange(len(held)), [len(x) for x in held])
-        take = pa.array(at)
-        return pa.RecordBatch.from_arrays([b["id"].take(take), b["component"].take(take), pa.array([len(x) for x in held], pa.int64()).take(take), pa.array(np.concatenate([*held, np.zeros(0, np.int64)]))], ["id", "component", "n", "shingle"])
-
-    here = rows.select("id", "component").distinct()
-    held = map_rows(sets.join(here, "id").select("id", "component", "set"), "set", explode, "id long, component long, n long, shingle long")
-    often = held.groupBy("shingle").agg(F.count("*").alias("often"))
-    in_order = held.join(often, "shingle").groupBy("id").agg(
-        F.first("component").alias("component"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("all")
-    )
-    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = in_order.select("id", "component", "n", F.explode(F.slice("all", F.lit(1), length)).alias("x")).where("x.often > 1")
-    prefix = prefix.select("id", "component", "n", "x.shingle")
-    several = prefix.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("shingle")
-    prefix = prefix.join(several, "shingle")
-    other = prefix.select("shingle", F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"))
-    pairs = prefix.join(other, "shingle").where("component < component_b").where(_fits("n", "n_b", percent))
+        take = pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held]))
+        return pa.RecordBatch.from_arrays([b["id"].take(take), b["component"].take(take), pa.array(np.concatenate([*held, np.zeros(0, np.int64)]))], ["id", "component", "shingle"])
+
+    here = rows.select("id", "component", "n").distinct()
+    held = map_rows(sets.join(here, "id").select("id", "component", "set"), "set", explode, "id long, component long, shingle long")
+    often = held.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("p"), F.max("component").alias("q")).where("p != q")
+    shared = held.join(often.select("shingle", "often"), "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    first = shared.join(here, "id").select("id", "component", "n", alone.alias("alone"), F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int")).alias("shared"))
+    first = first.select("id", "component", "n", "alone", F.posexplode("shared").alias("at", "x"))
+    # ``left``: the most that this set can share from here on.
+    first = staged(first.select("id", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), "x.shingle"))
+    several = first.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("shingle")
+    first = first.join(several, "shingle")
+    other = first.select("shingle", F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+    enough = (100 + percent) * F.least("left", "left_b") >= percent * (F.col("n") + F.col("n_b"))
+    pairs = first.join(other, (first["shingle"] == other["shingle"]) & (F.col("component") < F.col("component_b")) & enough)
     return pairs.select(F.col("id").alias("a"), "b").distinct()
 
 
@@ -206,16 +214,12 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         ids = rows.select("id").distinct()
         sets = staged(set_table(docs, ids, words).dropDuplicates(["id"]))
         links = staged(linked(star_pairs(rows, percent), sets, percent))
-        for last in (False, True):
-            labels = components(links)
-            rest = staged(mixed_rows(rows, labels))
-            if rest.isEmpty():
-                break
-            pairs = prefix_pairs(rest, sets, percent) if last else star_pairs(rest, percent)
-            more = staged(linked(pairs, sets, percent))
-            if last and not more.isEmpty():
-                labels = components(links.unionByName(more))
-            links = links.unionByName(more)
+        labels = components(links)
+        rest = staged(mixed_rows(rows, labels))
+        if not rest.isEmpty():
+            more = staged(linked(prefix_pairs(rest, sets, percent), sets, percent))
+            if not more.isEmpty():
+                labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.select("set_key", F.col("x.doc_id").alias("id"))
     if labels is not None:
         named = named.join(labels, "id", "left").withColumn("id", F.coalesce("component", "id"))
