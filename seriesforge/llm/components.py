@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round is two group-and-join steps over the edges; edges never grow in
-number, nothing reaches the driver but two sums that tell whether a round
-changed anything, and each round is staged so that lineage stays short.
+number, nothing reaches the driver but whether a round left anything to do,
+and each round is staged so that lineage stays short.
 """
 
 from __future__ import annotations
@@ -14,27 +14,32 @@ from seriesforge.llm.common import staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Larger neighbours of every node are tied to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """Smaller neighbours of every node, and the node itself, are tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     linked = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
     return linked.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): every id in edges (a, b), with the smallest id it can reach."""
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b")
-    last = None
     while True:
         edges = staged(_small_star(_large_star(edges)))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
+        if _done(edges):
             break
-        last = now
-    stars = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return stars.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("component")), F.struct(F.col("b").alias("id"), F.col("b").alias("component")))).alias("x")).select("x.id", "x.component").distinct()
