@@ -5,6 +5,11 @@ deduplication and near-duplicate grouping keep one document of each group,
 decontamination drops documents that hold benchmark passages, and packing deals
 what is left into sequences. Every stage sees all that its predecessor kept, as
 a table written and read again.
+
+Defined results: null and empty texts have no language and go at the first
+stage, as do rows without an id, which no later decision could name; of
+repeated rows one stays; an empty table gives an empty result; further columns
+are carried to the last stage.
 """
 
 from __future__ import annotations

@@ -1,8 +1,7 @@
-"""What the operators of this subpackage share: staging, Arrow batches, word hashing."""
+"""What the operators of this subpackage share: Arrow batches, word hashing, folds."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,22 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesforge.functions.staging import staged  # noqa: F401 - used by the operators beside this module
+
 #: Bytes of text that a Python worker handles at once, whatever the Arrow batch holds.
 SLICE_BYTES = 8 << 20
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder and read from there.
-
-    A later loss of executors recomputes nothing above this point. The folder is
-    the session's ``spark.checkpoint.dir``; one is made only where none is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

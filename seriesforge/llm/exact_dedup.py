@@ -7,7 +7,7 @@ Copies collapse inside each map task before anything is shuffled, so a group
 that holds a third of all rows sends one row per task.
 
 Defined results: a null text counts as empty; empty texts form one group; ties
-go to the smallest id; repeated rows with one id count as rows of the group;
+go to the smallest id, a null one last; repeated rows with one id count as rows of the group;
 an empty table gives an empty result; further columns are ignored.
 """
 
@@ -40,7 +40,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # The key holds the bytes: equal keys are equal texts. Partial aggregation
     # collapses copies before the shuffle.
     classes = keyed.groupBy("h", "norm").agg(
-        F.min(F.struct((-F.col("n")).alias("less"), F.col("id"))).alias("best"),
+        F.min(F.struct((-F.col("n")).alias("less"), F.col("id").isNull(), F.col("id").alias("id"))).alias("best"),
         F.count("*").alias("group_size"),
         F.first("sha").alias("sha"),
     )
@@ -54,15 +54,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("id").alias(id_col),
         F.when(F.col("texts") > 1, F.raise_error("different texts share all hashes").cast("long")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
-        (F.col("id") == F.col("keep_id")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their columns."""
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col))
-    return docs.join(keep, id_col, "left_semi")
+    """The rows that stay, with their columns; of repeated rows with the id that stays, one."""
+    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("keep_id"))
+    return docs.join(keep, docs[id_col].eqNullSafe(keep["keep_id"]), "left_semi").dropDuplicates([id_col])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ confirmed on the full sets. No bucket, group, link or component list is
 collected, in a task or on the driver.
 
 Defined results: a null text counts as empty; a document without words is its
-own group; repeated rows with one id are in one group; an empty table gives an
-empty result; further columns are ignored.
+own group; a row without id stands in no link, but is dropped if its set is
+that of another row; repeated rows with one id are in one group; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesforge.llm.common import map_rows, mixed, shingle_hashes, staged, table, texts_of, word_hashes
-from seriesforge.llm.components import components
+from seriesforge.operators.graph import components
 
 #: Slots to a band.
 ROWS = 5
@@ -206,7 +207,7 @@ def mixed_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
     signatures = staged(signed(docs, words, percent))
-    classes = signatures.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"))
+    classes = signatures.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"))
     rows = classes.select(F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), F.explode("x.bands").alias("bucket"))
     rows = staged(mixed_rows(rows.withColumn("component", F.col("id")), None))
     labels = None
@@ -225,7 +226,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         named = named.join(labels, "id", "left").withColumn("id", F.coalesce("component", "id"))
     out = signatures.select("doc_id", "n_shingles", "set_key").join(named.select("set_key", F.col("id").alias("component_id")), "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

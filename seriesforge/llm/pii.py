@@ -229,18 +229,18 @@ def personal_spans(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame, marker: str = "[{}]") -> DataFrame:
     """The documents with every span replaced by its kind; overlapping spans give way to the first."""
-    spans = personal_spans(docs).withColumnRenamed("doc_id", "span_id")
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = personal_spans(docs).select(F.col("doc_id").alias("_span_id"), F.col("spans").alias("_spans"))
+    ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*(F.lit(marker.format(k)) for k in KINDS))
     empty = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
 
     def cut(a: Column, s: Column) -> Column:
-        head = F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
+        head = F.substring(docs["text"], (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
         return F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["text"], head, F.get(names, s["kind"])).alias("text"), s["end"].alias("at")))
 
-    joined = docs.join(spans, docs["doc_id"] == F.col("span_id"), "left").withColumn("cut", F.aggregate(ordered, empty, cut))
-    tail = F.substring(F.col("text"), (F.col("cut.at") + 1).cast("int"), F.char_length("text"))
-    return joined.withColumn("text", F.when(F.size("spans") > 0, F.concat("cut.text", tail)).otherwise(F.col("text"))).select(*docs.columns)
+    joined = docs.join(spans.dropDuplicates(["_span_id"]), docs["doc_id"] == F.col("_span_id"), "left").withColumn("_cut", F.aggregate(ordered, empty, cut))
+    tail = F.substring(docs["text"], (F.col("_cut.at") + 1).cast("int"), F.char_length(docs["text"]))
+    return joined.withColumn("text", F.when(F.size("_spans") > 0, F.concat("_cut.text", tail)).otherwise(docs["text"])).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ array access inside whole-stage code: no shuffle, no Python, nothing that grows
 with the data. A hot source is spread, as the key is the document id.
 
 Defined results: a null key goes where the empty string goes; equal keys go to
-one shard; an empty table gives an empty result; further columns are carried.
+one shard; an empty table gives an empty result; further columns are carried, but
+columns named ``slot`` or ``shard`` are replaced.
 """
 
 from __future__ import annotations
