@@ -40,3 +40,8 @@ def letterbox(width: Column, height: Column, target: int = 1024) -> dict[str, Co
     new_w, new_h = half_even(width * scale), half_even(height * scale)
     left, top = F.floor((target - new_w) / 2), F.floor((target - new_h) / 2)
     return {"scale": scale, "new_w": new_w, "new_h": new_h, "pad_left": left, "pad_top": top, "pad_right": target - new_w - left, "pad_bottom": target - new_h - top}
+
+
+def display_scale(width: Column, height: Column, most_width: int = 1280, most_height: int = 720) -> Column:
+    """The factor that fits a frame on a screen; never above 1."""
+    return F.least(F.lit(1.0), F.lit(float(most_width)) / width, F.lit(float(most_height)) / height)

@@ -149,3 +149,12 @@ def nearest_candidate(circles: DataFrame, candidates: DataFrame, key: list[str],
     pairs = pairs.withColumn("score", F.col("_d") + weight * F.abs(F.col("r") - F.col("qr")))
     best = F.min_by(F.struct("candidate", "score"), F.struct("score", "candidate"))
     return pairs.groupBy(*key, "circle").agg(best.alias("b")).select(*key, "circle", "b.candidate", "b.score")
+
+
+def arbitrated(preferred: list[DataFrame], key: list[str]) -> DataFrame:
+    """Per key, the rows of the first of these tables that has any; ``choice`` tells which."""
+    out = None
+    for i, df in enumerate(preferred):
+        rows = df.withColumn("choice", F.lit(i))
+        out = rows if out is None else out.unionByName(rows.join(out.select(*key).distinct(), key, "left_anti"))
+    return out

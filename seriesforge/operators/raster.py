@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from seriesforge.functions.scalar import half_even
 
@@ -114,10 +113,18 @@ def unboxed(pixels: DataFrame, scale: Column, pad_left: Column, pad_top: Column,
     return pixels.withColumn("px", x).withColumn("py", y).distinct()
 
 
-def pixels_of_band(df: DataFrame, stride: int) -> DataFrame:
-    """Every ``stride``-th frame; on a partitioned table the filter reaches the scan."""
-    return df.where(F.col("frame") % stride == 0)
+def sampled_frames(counts: DataFrame, key: list[str], total: str, stride: int) -> DataFrame:
+    """Frames 0, stride, 2 * stride, ... and the middle one, each once: key, frame_id."""
+    every = F.sequence(F.lit(0).cast("long"), F.col(total) - 1, F.lit(stride).cast("long"))
+    middle = F.array(F.floor(F.col(total) / 2))
+    return counts.where(F.col(total) > 0).select(*key, F.explode(F.array_distinct(F.concat(every, middle))).alias("frame_id"))
 
 
-def ranked_by_area(df: DataFrame, frame: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(frame).orderBy(F.col("area").desc(), "component")))
+def candidate_evidence(scores: DataFrame, key: list[str], score: str) -> DataFrame:
+    """Ninetieth percentile and median of each candidate's scores; 0 without any."""
+    return scores.groupBy(*key).agg(F.coalesce(F.percentile(score, 0.9), F.lit(0.0)).alias("evidence_p90"), F.coalesce(F.median(score), F.lit(0.0)).alias("evidence_median"))
+
+
+def spine_pixels(pixels: DataFrame, frame: str) -> DataFrame:
+    """Per frame, its pixels by x, then y (not along the path), and their number."""
+    return pixels.groupBy(frame).agg(F.sort_array(F.collect_list(F.struct("px", "py"))).alias("spine"), F.count("*").alias("length"))

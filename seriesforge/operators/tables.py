@@ -136,3 +136,16 @@ def assembled(chunks: DataFrame, key: list[str], frame: str) -> DataFrame:
     """Chunk outputs in range order; of a frame that two chunks hold, the later chunk's row."""
     w = W.partitionBy(*key, frame).orderBy(F.col("range_start").desc())
     return chunks.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def furthest_end(ranges: DataFrame, key: list[str]) -> DataFrame:
+    """Per start, the longest of repeated ranges: where a resumed run goes on."""
+    return ranges.groupBy(*key, "range_start").agg(F.max("range_end").alias("range_end"))
+
+
+def training_matrix(features: DataFrame, side: DataFrame, top: DataFrame, key: list[str], vector: str) -> DataFrame:
+    """One row for each key that all three hold once: features, and the targets side before top. A repeated key is an error."""
+    named = [df.groupBy(*key).agg(F.first(vector).alias(n), F.count("*").alias(f"_{n}")) for df, n in ((features, "x"), (side, "s"), (top, "t"))]
+    rows = reduce(lambda a, b: a.join(b, key), named)
+    once = F.when(F.greatest("_x", "_s", "_t") > 1, F.raise_error("a key is repeated").cast("int"))
+    return rows.select(*key, F.when(once.isNull(), F.col("x")).alias("x"), F.concat("s", "t").alias("y"))
