@@ -14,19 +14,19 @@ from pyspark.sql import functions as F
 from seriesforge.functions.staging import staged  # noqa: F401 - used by the operators beside this module
 
 #: Bytes of text that a Python worker handles at once, whatever the Arrow batch holds.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each holds about SLICE_BYTES of the column."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each holds about ``most`` bytes of the column."""
     for batch in batches:
         start, size = 0, 0
         for i, n in enumerate(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)):
-            if size and size + n > SLICE_BYTES:
+            if size and size + n > most:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += int(n)
@@ -34,11 +34,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(start)
 
 
-def map_rows(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """``fn`` on every slice of the rows, as Arrow data inside the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column):
+        for part in slices(batches, column, most):
             yield fn(part)
 
     return df.mapInArrow(run, schema)

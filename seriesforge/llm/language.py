@@ -35,6 +35,8 @@ EPOCHS = 3
 RATE = 0.2
 #: Words in a padded block of forward-backward.
 BLOCK_WORDS = 150_000
+#: Bytes of text at once in a task; features and scores take some fifty times as much.
+AT_ONCE = 2 << 20
 UNKNOWN = "und"
 
 
@@ -243,7 +245,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
             ["doc_id", "lang_pred", "score", "n_words", "n_switches"],
         )
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "text", batch, "doc_id long, lang_pred string, score double, n_words long, n_switches long")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "text", batch, "doc_id long, lang_pred string, score double, n_words long, n_switches long", AT_ONCE)
 
 
 def labelled_words(docs: DataFrame, model: Model) -> DataFrame:
@@ -260,7 +262,7 @@ def labelled_words(docs: DataFrame, model: Model) -> DataFrame:
             at += n
         return pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())])))], ["doc_id", "runs"])
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "text", batch, "doc_id long, runs array<struct<lang:string,words:long>>")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "text", batch, "doc_id long, runs array<struct<lang:string,words:long>>", AT_ONCE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
