@@ -78,3 +78,14 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of the id as text, modulo n: the folds of the contracts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def sampled(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """At most ``rows`` rows, chosen by hashes of their key.
+
+    A share of the hashes that holds about three times as many is cut out first,
+    so that all tasks together, however many, send a bounded number on.
+    """
+    share = min(1.0, 3 * rows / max(df.count(), 1))
+    part = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return part.orderBy(F.xxhash64(F.lit("order"), key), key).limit(rows)

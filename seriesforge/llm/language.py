@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import crc_mod, map_rows, mixed, table, texts_of
+from seriesforge.llm.common import crc_mod, map_rows, mixed, sampled, table, texts_of
 
 TRAIN_ROWS = 800
 TRAIN_CHARS = 20_000
@@ -217,8 +217,7 @@ def train(rows: list[tuple[bytes, str]], bits: int = BITS) -> Model:
 
 def fitted(labelled: DataFrame) -> Model:
     """A model of a bounded sample of rows with text and lang."""
-    fit = labelled.where("lang is not null and text is not null").where(F.char_length("text") <= TRAIN_CHARS)
-    rows = fit.select("text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).collect()
+    rows = sampled(labelled.where("lang is not null").select("doc_id", "lang", "text"), TRAIN_ROWS).where(F.char_length("text") <= TRAIN_CHARS).collect()
     return train([(r["text"].encode("utf-8", "replace"), r["lang"]) for r in rows])
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import crc_mod, map_rows, table, texts_of
+from seriesforge.llm.common import crc_mod, map_rows, sampled, table, texts_of
 
 FIT_ROWS = 1_500
 FIT_CHARS = 50_000
@@ -155,12 +155,11 @@ def train(rows: list[tuple[str, int]]) -> Model:
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of a bounded sample of labelled documents, as many of each label as there are up to FIT_ROWS."""
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = labels.where("quality in (0, 1)").select("doc_id", "quality")
-    sample = known.where("quality = 0").orderBy(*order).limit(FIT_ROWS).unionByName(known.where("quality = 1").orderBy(*order).limit(FIT_ROWS))
+    sample = sampled(known.where("quality = 0"), FIT_ROWS).unionByName(sampled(known.where("quality = 1"), FIT_ROWS))
     # At most 2 * FIT_ROWS pairs of numbers.
-    rows = docs.select("doc_id", "text").where(F.char_length("text") <= FIT_CHARS).join(F.broadcast(sample), "doc_id").orderBy(*order, "quality").collect()
-    return train([(r["text"], r["quality"]) for r in rows])
+    rows = docs.select("doc_id", "text").where(F.char_length("text") <= FIT_CHARS).join(F.broadcast(sample), "doc_id").collect()
+    return train(sorted((r["text"], r["quality"]) for r in rows))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
