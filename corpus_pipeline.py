@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from seriesforge.llm import decontaminate, exact_dedup, language, near_dedup, packing
 from seriesforge.llm.common import staged, table
 
-#: From this mean probability on, a document counts as written in the language found.
+#: From this mean probability of its words' best languages on, a document counts as written in known ones, one or several.
 SURE = 0.5
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language of the corpus; texts without a letter or a likely language go."""
-    found = language.identified(docs, language.fitted(docs)).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE))
+    """Documents in languages of the corpus, mixed ones too; texts without a letter or a likely language go."""
+    found = language.identified(docs, language.fitted(docs)).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("certainty") >= SURE))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
 
 

@@ -222,29 +222,34 @@ def fitted(labelled: DataFrame) -> Model:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, lang_pred, score, n_words, n_switches (between neighbouring words)."""
+    """Per row: doc_id, lang_pred, score, n_words, n_switches (between neighbouring words), certainty.
+
+    ``score`` is the mean probability of the language found, so it falls in mixed
+    text; ``certainty``, the mean of each word's best, does not.
+    """
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         f = features(texts_of(b["text"]))
-        names, scores, switches = [], [], []
+        names, scores, switches, certain = [], [], [], []
         if model.names:
             p = forward_backward(model, model.emissions(f), f.words_of) if len(model.names) > 1 else np.ones((len(f.start), 1))
-            best = p.argmax(axis=1)
+            best, most = p.argmax(axis=1), p.max(axis=1)
             at = 0
             for n in f.words_of:
+                certain.append(min(1.0, float(most[at : at + n].mean())) if n else 0.0)
                 mean = p[at : at + n].mean(axis=0) if n else None
                 names.append(model.names[int(mean.argmax())] if n else UNKNOWN)
                 scores.append(min(1.0, float(mean.max())) if n else 0.0)
                 switches.append(int((np.diff(best[at : at + n]) != 0).sum()))
                 at += n
         else:
-            names, scores, switches = ([x] * b.num_rows for x in (UNKNOWN, 0.0, 0))
+            names, scores, switches, certain = ([x] * b.num_rows for x in (UNKNOWN, 0.0, 0, 0.0))
         return pa.RecordBatch.from_arrays(
-            [b["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(f.words_of, pa.int64()), pa.array(switches, pa.int64())],
-            ["doc_id", "lang_pred", "score", "n_words", "n_switches"],
+            [b["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(f.words_of, pa.int64()), pa.array(switches, pa.int64()), pa.array(certain, pa.float64())],
+            ["doc_id", "lang_pred", "score", "n_words", "n_switches", "certainty"],
         )
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "text", batch, "doc_id long, lang_pred string, score double, n_words long, n_switches long", AT_ONCE)
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "text", batch, "doc_id long, lang_pred string, score double, n_words long, n_switches long, certainty double", AT_ONCE)
 
 
 def labelled_words(docs: DataFrame, model: Model) -> DataFrame:

@@ -422,7 +422,8 @@ def test_pipeline_keeps_what_each_stage_should(spark):
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    extra = documents(spark, ["12345", None], ids=[900_001, 900_002]).select(*docs.columns)
+    fr, de = (docs.where(f"lang = '{x}' and length(text) > 600").orderBy("doc_id").first().text.split() for x in ("fr", "de"))
+    extra = documents(spark, ["12345", None, " ".join(fr[:60] + de[:60])], ids=[900_001, 900_002, 900_003]).select(*docs.columns)
     docs = docs.unionByName(extra)
     text = {r.doc_id: r.text for r in docs.collect()}
     kept = {}
