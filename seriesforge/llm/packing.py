@@ -44,10 +44,13 @@ GAP = 5e-4
 MOST_ROUNDS = 30
 MOST_COLUMNS = 2_500
 #: Distinct words a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 MARKS = b".,!?;:*%$&#|\"()"
 
-_ids_of: dict[tuple[str, bytes], bytes] = {}
+#: Byte-level models write bytes that print as themselves and the others, in order, from 256 on.
+BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+_ids_of: dict[bytes, bytes] = {}
 
 
 @lru_cache(maxsize=2)
@@ -68,6 +71,19 @@ def _packed_ids(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _letters_only(word: bytes) -> str | None:
+    """The word in the characters of a byte-level model, if it is one run of small Latin letters.
+
+    Normaliser and splitter leave such a word as it is, so the model alone gives its ids.
+    """
+    if word.isalpha() and word.islower():
+        return word.decode()
+    x = word.decode("utf-8", "replace")
+    if x.isalpha() and x.islower() and max(x) < "\u0180" and x == x.lower():  # all of them composed letters
+        return word.decode("latin-1").translate(BYTE_CHARACTERS)
+    return None
+
+
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers, without the end id.
 
@@ -90,7 +106,11 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
             wanted.update(x for x in cores[w] if x not in known)
         else:
             wanted.add(w)
-    order = list(wanted)
+    model = t.model
+    plain = {w: x for w in wanted if (x := _letters_only(w)) is not None}
+    for w, x in plain.items():
+        known[w] = _packed_ids([k.id for k in model.tokenize(x)])
+    order = [w for w in wanted if w not in plain]
     for w, e in zip(order, t.encode_batch_fast([w.decode("utf-8", "replace") for w in order], add_special_tokens=False), strict=True):
         known[w] = _packed_ids(e.ids)
     for w, (core, marks) in cores.items():
