@@ -94,11 +94,16 @@ class Block:
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
         self.edits = [allowed_edits(len(w), similarity) for w in self.words]
-        self.keys: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(items)
+        sizes = np.array([len(w) for w in self.words], int)
+        for size in np.unique(sizes[sizes > 0]):  # items of one size are embedded together
+            own = np.flatnonzero(sizes == size)
+            starts = np.arange(len(own)) * size
+            for k, key in zip(own, embedded_samples(np.concatenate([self.words[i] for i in own]), starts, starts + size, int(size)), strict=True):
+                self.keys[k] = key
         runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for k, (w, d) in enumerate(zip(self.words, self.edits, strict=True)):
             n = len(w)
-            self.keys.append(embedded_samples(w, np.zeros(1, np.int64), np.full(1, n), n)[0] if n else np.zeros(0, np.uint64))
             if n:
                 size = min(3, -(-(n - d) // (d + 1)))
                 runs[size] += [(int(h), k, o) for o, h in enumerate(shingle_hashes(w, size))]
@@ -177,12 +182,9 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).where("text is not null").select(F.col("item_id").cast("long"), "text").collect()
-        block = [(r[0], r[1].encode()) for r in sorted(rows)]
+        index = Block([(r[0], r[1].encode()) for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))], similarity)
 
-        def batch(b: pa.RecordBatch, block: list = block, held: list = []) -> pa.RecordBatch:  # noqa: B006
-            if not held:
-                held.append(Block(block, similarity))
-            index = held[0]
+        def batch(b: pa.RecordBatch, index: Block = index) -> pa.RecordBatch:
             found = index.hits([words_of(x) for x in texts_of(b["text"])])
             ids = b["doc_id"].to_pylist()
             n = [len(index.words[i]) for _, i, _, _ in found]
@@ -205,7 +207,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that hold no item, with their columns."""
     hit = contaminated(docs, items, similarity).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == F.col("hit_id"), "left_anti")
+    return docs.join(hit, docs["doc_id"].cast("long") == hit["hit_id"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
