@@ -150,3 +150,14 @@ def test_prepared_tables_share_frames_and_a_root(spark):
     frames = {tuple(r) for r in out["frames"].collect()}
     for name in ("shape", "intensity", "derivative"):
         assert {tuple(r) for r in out[name].select(*key).distinct().collect()} == frames
+
+
+def test_preparation_reads_all_orders_and_events(spark):
+    d = "/root/testdata/sf0.01"
+    raw, light = prepare.raw_curves(spark, d), prepare.intensity_table(spark, d)
+    keys = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey").distinct()
+    assert raw.count() == raw.select("recording", "view", "Frame_ID").distinct().count() == keys.count()
+    assert light.count() == light.select("recording", "frame_id", "circle", "point").distinct().count() == 20 * spark.read.parquet(f"{d}/events.parquet").count()
+    ends = keys.agg(F.floor(F.max("l_orderkey") / 800)).first()[0]
+    for t in (raw, light):
+        assert {f"rec{i}" for i in range(ends + 1)} <= {r.recording for r in t.select("recording").distinct().collect()}
