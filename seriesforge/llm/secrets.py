@@ -5,6 +5,8 @@ context become candidates. Each is compressed with zstandard primed by a
 dictionary of common identifiers and the text around it; the bytes it adds, as
 a share of its length, are its novelty. Words, paths and identifiers that the
 surroundings explain add little; a random key adds about all of its bytes.
+From 64 bytes on zstandard codes literals by their frequency, which makes small
+alphabets look explained, so longer strings are scored in shorter pieces.
 
 Documents are scanned whole, each inside its task; nothing is shuffled.
 
@@ -39,6 +41,8 @@ NEAR = 48
 AROUND = 4096
 #: From this share of its bytes on, a candidate is news.
 NOVELTY = 0.8
+#: Most characters of a piece; from 64 on literals are Huffman-coded.
+PIECE = 63
 IDENTIFIERS = (
     "public static void private protected class return import export function const let var async await def self None True False null true false "
     "application authorization authentication content-type configuration environment connection request response session cookie header "
@@ -55,6 +59,14 @@ def novelty(candidate: bytes, around: bytes) -> float:
     return (len(packer.compress(candidate)) - len(packer.compress(b""))) / len(candidate)
 
 
+def is_news(text: str, a: int, b: int) -> bool:
+    """Whether some piece of text[a:b] is news after what stands before it, earlier pieces too, and after the whole."""
+    after = "\n" + text[b : b + AROUND]
+    n = -(-(b - a) // PIECE)
+    cuts = [a + (b - a) * i // n for i in range(n + 1)]
+    return any(novelty(text[x:y].encode(), (text[max(0, x - AROUND) : x] + after).encode("utf-8", "replace")) >= NOVELTY for x, y in zip(cuts, cuts[1:], strict=False))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three patterns."""
     found = []
@@ -80,8 +92,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             k += 1
         if reach > a or not SENSITIVE.search(text, max(0, a - NEAR), a):
             continue
-        around = (text[max(0, a - AROUND) : a] + "\n" + text[b : b + AROUND]).encode("utf-8", "replace")
-        if novelty(m[0].encode(), around) >= NOVELTY:
+        if is_news(text, a, b):
             out.append((a, 3, b))
     return out
 

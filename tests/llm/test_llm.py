@@ -331,6 +331,17 @@ def test_secret_base_digest(spark):
         assert r.base_sha256 == secrets.base_digest(t.text or "")
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"])
+def test_random_keys_of_any_alphabet_and_length(alphabet):
+    rng = random.Random(8)
+    for n in (63, 64, 72, 128, 200, 500):
+        for _ in range(20):
+            key = "".join(rng.choice(alphabet) for _ in range(n))
+            assert secrets.novel_spans(f"ENCRYPTION_KEY = {key} # set", []) == [(17, 3, 17 + n)]
+    for plain in ("configuration_environment_application_" * 8, "secret/" * 60, "0123456789" * 20):
+        assert secrets.novel_spans(f"ENCRYPTION_KEY = {plain} # set", []) == []
+
+
 # 9: packing
 
 def test_packing_is_an_exact_cover(spark):
