@@ -33,10 +33,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # of maximal runs, those of 32 or more
 KINDS = ("assign", "access", "hex", "novel")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|credential|auth|bearer|private|signature|cookie|session|conn(?:ection)?[_ ]?str", re.I)
-#: Characters before a candidate in which a sensitive word must stand.
+#: Characters on either side of a candidate, or of adjoining ones, in which a sensitive word must stand.
 NEAR = 48
+#: What stands between the lines of one wrapped value: a line end amid white space, quotes and marks, or an escaped one, whose letter the next line gets.
+MARKS = r"""\s"'`,;.>|*#\\"""
+BETWEEN = re.compile(rf"[{MARKS}+]*[\r\n][{MARKS}]*|\\(?=[nr])")
+#: The last line of a wrapped value, shorter than a candidate.
+TAIL = re.compile(rf"""(?:{BETWEEN.pattern})([A-Za-z0-9+/_=-]{{1,15}}+)(?=["'`,;]*\s*(?:\Z|[\r\n]|\\[nr]))""")
 #: Characters on either side that prime the compressor.
 AROUND = 4096
 #: From this share of its bytes on, a candidate is news.
@@ -80,20 +85,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates in a sensitive context that no base span covers and compression can't explain."""
+    """Candidates in a sensitive context that no base span covers and compression can't explain.
+
+    Candidates with nothing but line ends and the like between them share their
+    context: a sensitive word beside one of them counts for all.
+    """
     if not SENSITIVE.search(text):
         return []
+    groups: list[list[tuple[int, int]]] = []
+    for m in CANDIDATE.finditer(text):
+        if groups and (gap := BETWEEN.match(text, groups[-1][-1][1])) and gap.end() == m.start():
+            groups[-1].append(m.span())
+        else:
+            groups.append([m.span()])
     taken = sorted((a, b) for a, _, b in base)
     out, k, reach = [], 0, 0
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while k < len(taken) and taken[k][0] < b:
-            reach = max(reach, taken[k][1])
-            k += 1
-        if reach > a or not SENSITIVE.search(text, max(0, a - NEAR), a):
-            continue
-        if is_news(text, a, b):
-            out.append((a, 3, b))
+    for group in groups:
+        sensitive = any(SENSITIVE.search(text, max(0, a - NEAR), a) or SENSITIVE.search(text, b, b + NEAR) for a, b in group)
+        free = []
+        for a, b in group:
+            while k < len(taken) and taken[k][0] < b:
+                reach = max(reach, taken[k][1])
+                k += 1
+            if reach <= a:
+                free.append((a, b))
+        found = [(a, 3, b) for a, b in free if is_news(text, a, b)] if sensitive else []
+        out += found
+        sizes = [b - a for a, b in group]
+        # A wrapped value may end in a line too short for a candidate.
+        if len(group) > 1 and found and found[-1][2] == group[-1][1] and (tail := TAIL.match(text, found[-1][2])) and abs(sizes[-1] - sizes[-2]) < 2:
+            out.append((tail.start(1), 3, tail.end(1)))
     return out
 
 
