@@ -1,16 +1,13 @@
 """Benchmark decontamination: passages of benchmark items inside documents.
 
 An item is in a document if some run of the document's words is within
-``floor((1 - similarity) * words)`` word edits of it. Windows of an item's size
-are embedded by CGK random walks (a walk over the window repeats or advances at
-each step by a random bit of the word under it), which turns edit distance into
-Hamming distance; repeated sampling of embedded positions then finds windows
-that agree with the item, and an exact edit distance over the region decides.
-
-Only windows that can pass are embedded: with d edits, one of the d + 1
-untouched runs of an item holds at least (words - d) / (d + 1) words, so a true
-window shares a word run of that length (three at most are asked for) with the
-item at about the same place. That bound loses no pair.
+``floor((1 - similarity) * words)`` word edits of it. With d edits, one of the
+d + 1 untouched runs of an item holds at least (words - d) / (d + 1) words, so
+a match shares runs of that many words (q, three at most) with the item. Each
+edit spoils q of the item's words - q + 1 runs, so words - q + 1 - q * d of them
+stand in the match, and as edits alone shift them, their starting points lie
+within d words. Where so many runs align, an exact edit distance over the region
+decides. Both bounds lose no match, whatever the item's length.
 
 Scale: items are the query set. They are read in blocks of bounded size, each
 block travels with the task code, and documents are scanned whole, in place:
@@ -32,18 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import mixed, map_rows, shingle_hashes, table, texts_of, word_hashes
+from seriesforge.llm.common import map_rows, shingle_hashes, table, texts_of, word_hashes
 
 SIMILARITY = 0.8
-#: Independent walks, samples of each walk's embedding, embedded positions to a sample.
-WALKS, SAMPLES, POSITIONS = 4, 16, 3
 #: Bytes of item text in a block; one block at a time is held in a task.
 BLOCK_BYTES = 16 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-PAD = np.uint64(0x5851F42D4C957F2D)
-_SEEDS = np.random.default_rng(7)
-STEP_SEEDS = _SEEDS.integers(1, 2**63, (WALKS, 4096), dtype=np.uint64)
-SAMPLE_AT = _SEEDS.random((WALKS, SAMPLES, POSITIONS))
 
 
 def words_of(text: bytes) -> np.ndarray:
@@ -54,27 +45,6 @@ def allowed_edits(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def embedded_samples(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    """Sampled keys (window, walk * sample) of windows [start, min(start + size, end))."""
-    steps = 3 * size
-    out = np.zeros((len(starts), WALKS, SAMPLES), np.uint64)
-    limit = np.minimum(ends - starts, size)
-    for walk in range(WALKS):
-        at = np.zeros(len(starts), np.int64)
-        wanted = defaultdict(list)
-        for s, places in enumerate((SAMPLE_AT[walk] * 2 * size).astype(int)):  # most windows are spent after twice their size
-            for p in places:
-                wanted[int(p)].append(s)
-        last = max(wanted)
-        for step in range(min(steps, last + 1)):
-            inside = at < limit
-            w = np.where(inside, words[np.minimum(starts + at, len(words) - 1)], PAD)
-            for s in wanted.get(step, ()):
-                out[:, walk, s] = mixed(out[:, walk, s] + w + np.uint64(step + 1))
-            at += (mixed(w + STEP_SEEDS[walk, step % 4096]) >> np.uint64(63)).astype(np.int64)
-    return out.reshape(len(starts), -1)
-
-
 def nearest(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     """Least word edits between the item and any run of the region, and where that run ends."""
     index = np.arange(len(region) + 1)
@@ -94,18 +64,14 @@ class Block:
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
         self.edits = [allowed_edits(len(w), similarity) for w in self.words]
-        self.keys: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(items)
-        sizes = np.array([len(w) for w in self.words], int)
-        for size in np.unique(sizes[sizes > 0]):  # items of one size are embedded together
-            own = np.flatnonzero(sizes == size)
-            starts = np.arange(len(own)) * size
-            for k, key in zip(own, embedded_samples(np.concatenate([self.words[i] for i in own]), starts, starts + size, int(size)), strict=True):
-                self.keys[k] = key
+        self.allowed = np.array(self.edits, int)
+        self.least = np.ones(len(items), int)  # of an item's runs that stand in every match
         runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for k, (w, d) in enumerate(zip(self.words, self.edits, strict=True)):
             n = len(w)
             if n:
                 size = min(3, -(-(n - d) // (d + 1)))
+                self.least[k] = max(1, n - size + 1 - size * d)
                 runs[size] += [(int(h), k, o) for o, h in enumerate(shingle_hashes(w, size))]
         self.runs = {}
         for size, found in runs.items():
@@ -142,32 +108,26 @@ class Block:
                 start_at.append(start)
         if not doc_at:
             return []
-        base = np.cumsum([0, *(len(w) for w in docs)])
-        flat = np.concatenate([*docs, np.array([PAD])])
-        triples = np.unique(np.stack([np.concatenate(doc_at), np.concatenate(item_at), np.concatenate(start_at)], axis=1), axis=0)
-        edits, sizes = np.array(self.edits), np.array([len(w) for w in self.words])
+        doc, item, start = np.concatenate(doc_at), np.concatenate(item_at), np.concatenate(start_at)
+        order = np.lexsort((start, item, doc))
+        doc, item, start = doc[order], item[order], start[order]
+        # Of a true match's alignments, the least number lies within the allowed edits of each other.
+        last = np.arange(len(doc)) + self.least[item] - 1
+        at = np.minimum(last, len(doc) - 1)
+        full = (last < len(doc)) & (doc[at] == doc) & (item[at] == item) & (start[at] - start <= self.allowed[item])
         found: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for size in np.unique(sizes[triples[:, 1]]):
-            some = triples[sizes[triples[:, 1]] == size]
-            d = int(edits[some[0, 1]])
-            shift = np.arange(-d, d + 1)
-            windows = np.unique(np.stack([np.repeat(some[:, 0], len(shift)), np.repeat(some[:, 1], len(shift)), (some[:, 2][:, None] + shift).ravel()], axis=1), axis=0)
-            docs_of, items_of = windows[:, 0], windows[:, 1]
-            windows[:, 2] = np.clip(windows[:, 2], 0, np.maximum(base[docs_of + 1] - base[docs_of] - 1, 0))
-            keys = embedded_samples(flat, base[docs_of] + windows[:, 2], base[docs_of + 1], int(size))
-            own = np.stack([self.keys[k] for k in items_of])
-            for doc, item, start in windows[(keys == own).any(axis=1)]:
-                found[int(doc), int(item)].append(int(start))
+        for d, i, first in zip(doc[full].tolist(), item[full].tolist(), start[full].tolist(), strict=True):
+            found[d, i].append(first)
         out = []
         for (doc, item), starts in found.items():
-            size, d = int(sizes[item]), int(edits[item])
+            size, d = len(self.words[item]), self.edits[item]
             starts = sorted(set(starts))
             cuts = [0, *(i for i in range(1, len(starts)) if starts[i] - starts[i - 1] > size), len(starts)]
             best = min(
                 (n, end + low)
                 for a, b in zip(cuts, cuts[1:], strict=False)
                 for low in [max(0, starts[a] - d)]
-                for n, end in [nearest(self.words[item], docs[doc][low : starts[b - 1] + size + d])]
+                for n, end in [nearest(self.words[item], docs[doc][low : max(0, starts[b - 1] + size + 2 * d)])]
             )
             if best[0] <= d:
                 out.append((doc, item, best[0], best[1]))

@@ -295,6 +295,26 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminated(documents(spark, texts), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 14, 59, 300, 1000])
+def test_decontamination_finds_every_item_at_the_allowed_edits(size):
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    item = [word() for _ in range(size)]
+    index = decontaminate.Block([(0, " ".join(item).encode())], 0.8)
+    docs, want = [], []
+    for k in range(24):
+        own, edits = list(item), size // 5 + (k % 6 == 5)
+        for at in sorted(rng.sample(range(size), edits), reverse=True):
+            kind = ("change", "drop", "add")[k % 4] if k % 4 < 3 else rng.choice(["change", "drop", "add"])
+            own[at : at + 1] = [word()] if kind == "change" else [] if kind == "drop" else [own[at], word()]
+        words = decontaminate.words_of(" ".join([*(word() for _ in range(rng.randrange(40))), *own, *(word() for _ in range(rng.randrange(40)))]).encode())
+        docs.append(words)
+        if (n := decontaminate.nearest(index.words[0], words)[0]) <= size // 5:
+            want.append((k, 0, n))
+    assert len(want) >= 20
+    assert [x[:3] for x in sorted(index.hits(docs))] == want
+
+
 def test_edit_distance_equals_a_plain_table():
     rng = np.random.default_rng(6)
     for _ in range(20):
