@@ -59,6 +59,7 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 WINDOW = [math.exp(-(d * d) / 2) for d in range(-2, 3)]
 #: A path is content from this many standard deviations of the fused scores on.
 SPREADS = 0.5
+HEADING = re.compile(r"h[1-6]\Z")
 
 
 def _named(tag: str, attrs: str, inside_article: bool) -> int:
@@ -155,47 +156,64 @@ def _smooth(x: list[float]) -> list[float]:
     return out
 
 
-def content_element(nodes: list) -> int:
-    """Number of the element that holds the content nodes; 0 for the whole page."""
-    real = [(c, p, len(t), len(PUNCTUATION.findall(t))) for c, p, t in nodes if t and not t.isspace()]
+def _weighed(nodes: list) -> tuple[list[bool], dict[int, float], dict[int, str], float]:
+    """Whether each node is content by its tag path; the content mass and tags of elements that hold some; the whole mass."""
+    real = [(k, c, p, len(t), len(PUNCTUATION.findall(t))) for k, (c, p, t) in enumerate(nodes) if t and not t.isspace()]
+    chosen, mass, names, total = [False] * len(nodes), {}, {}, 0.0
     by_path: dict[tuple[str, ...], list[float]] = {}
-    for _, p, n, marks in real:
+    for _, _, p, n, marks in real:
         s = by_path.setdefault(p, [0, 0, 0, 0])
         s[0] += 1
         s[1] += n
         s[2] += marks
         s[3] += n * n
     if not by_path:
-        return 0
+        return chosen, mass, names, total
     score = {}
     for p, (k, n, marks, squares) in by_path.items():
         spread = math.sqrt(max(0.0, squares / k - (n / k) ** 2))
         score[p] = math.log1p(n / k) * math.log1p(1 + marks / k) * math.log1p(1 + spread) * math.log1p(n)
-    fused = _smooth([score[p] for _, p, _, _ in real])
+    fused = _smooth([score[p] for _, _, p, _, _ in real])
     mean = sum(fused) / len(fused)
     cut = SPREADS * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    mass: dict[int, float] = {}
-    total, names = 0.0, {}
-    for (c, p, n, _), f in zip(real, fused, strict=True):
+    for (k, c, p, n, _), f in zip(real, fused, strict=True):
         if f >= cut:
+            chosen[k] = True
             total += n * f
             for i, x in zip(c, p, strict=True):
                 mass[i] = mass.get(i, 0.0) + n * f
                 names[i] = x
-    best = [i for i, x in names.items() if x in ("article", "main") and mass[i] >= 0.5 * total]
-    return max(best) if best else max((i for i, x in names.items() if mass[i] >= 0.9 * total and x not in INLINE and not x.startswith("h")and x != "p"), default=0)
+    return chosen, mass, names, total
+
+
+def kept_nodes(nodes: list) -> list[bool]:
+    """Whether each node is main text: content by its path, inside an element that holds content, or a heading of such text."""
+    chosen, mass, names, total = _weighed(nodes)
+    best = {i for i, x in names.items() if x in ("article", "main")}
+    named = bool(best) and sum(m for i, m in mass.items() if i in best and names[i] == "article") >= 0.5 * total
+    if named:  # articles hold it; a main around them may hold less of it besides
+        best = {i for i in best if names[i] == "article"}
+    elif not any(mass[i] >= 0.5 * total for i in best):
+        best = {max((i for i, x in names.items() if mass[i] >= 0.9 * total and x not in INLINE and not x.startswith("h") and x != "p"), default=0)}
+    keep = [0 in best or chosen[k] or not best.isdisjoint(c) for k, (c, _, _) in enumerate(nodes)]
+    after = False
+    for k in range(len(nodes) - 1, -1, -1):
+        _, p, t = nodes[k]
+        if t and not t.isspace():
+            keep[k] = keep[k] or "h1" in p or after and any(HEADING.match(x) for x in p)
+            after = keep[k]
+    return keep
 
 
 def main_text(page: str) -> str:
     nodes = text_nodes(page)
-    element = content_element(nodes)
     blocks, run = [], []
-    for c, _, t in [*nodes, ((), (), None)]:
+    for (_, _, t), keep in zip([*nodes, ((), (), None)], [*kept_nodes(nodes), True], strict=True):
         if t is None:
             if run and (block := " ".join("".join(run).split())):
                 blocks.append(block)
             run = []
-        elif not element or element in c:
+        elif keep:
             run.append(t)
     return " ".join(blocks)
 

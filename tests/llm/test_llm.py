@@ -220,6 +220,19 @@ def test_pages_of_the_tables(spark):
         assert html_text.main_text(r.html) == " ".join(html.unescape(body).split())
 
 
+PARAGRAPH = "This is a long paragraph, full of words; it goes on, and on. " * 4
+
+
+def test_pages_keep_all_content_nodes():
+    first, second, third = (f"{x} {PARAGRAPH}".strip() for x in ("One", "Two", "Three"))
+    page = f"<body><h1>Title</h1><p>Lead.</p><div><p>{first}</p><p>{second}</p><p>{third}</p></div><nav>Menu</nav></body>"
+    assert html_text.main_text(page) == f"Title Lead. {first} {second} {third}"
+    page = f"<main><article><p>{first}</p><p>{second}</p></article><article><p>{third}</p></article></main><footer>Foot</footer>"
+    assert html_text.main_text(page) == f"{first} {second} {third}"
+    page = f"<body><div><p>{first * 5}</p><p>{second * 6}</p></div><div><p>{third}</p></div></body>"
+    assert html_text.main_text(page).endswith(third)
+
+
 # 5: sharding
 
 def test_slots_are_claimed_in_turns_by_preference():
