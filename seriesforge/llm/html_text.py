@@ -59,6 +59,8 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 WINDOW = [math.exp(-(d * d) / 2) for d in range(-2, 3)]
 #: A path is content from this many standard deviations of the fused scores on.
 SPREADS = 0.5
+#: Elements whose names hint in part that they are no article text go if each holds less of the content, and all of them at most half.
+SMALL = 0.2
 HEADING = re.compile(r"h[1-6]\Z")
 
 
@@ -84,12 +86,13 @@ def _named(tag: str, attrs: str, inside_article: bool) -> int:
     return found
 
 
-def text_nodes(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str]]:
-    """(chain of element numbers, path of tags, decoded text) of nodes that markup does not rule out.
+def text_nodes(page: str) -> tuple[list[tuple[tuple[int, ...], tuple[str, ...], str]], set[int]]:
+    """(chain of element numbers, path of tags, decoded text) of nodes that markup does not rule out, and the elements partly named as such.
 
     A text of None marks the border of a block.
     """
     nodes: list = []
+    hinted: set[int] = set()
     stack: list[tuple[str, int, int]] = []  # tag, number, how surely dropped
     chain: tuple[int, ...] = ()
     path: tuple[str, ...] = ()
@@ -101,7 +104,7 @@ def text_nodes(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str]]:
         dropped, articles = max((x[2] for x in stack), default=0), sum(x[0] == "article" for x in stack)
 
     def text(raw: str) -> None:
-        if raw and not dropped:
+        if raw and dropped < 2:
             nodes.append((chain, path, html.unescape(raw) if "&" in raw else raw))
 
     for m in TOKEN.finditer(page):
@@ -137,13 +140,16 @@ def text_nodes(page: str) -> list[tuple[tuple[int, ...], tuple[str, ...], str]]:
         number += 1
         how = _named(tag, m["attrs"], articles > 0)
         if tag in ("article", "main") and not how:  # a partly matching name around an article was about the layout
+            hinted.difference_update(n for _, n, w in stack if w == 1)
             stack[:] = [(x, n, 0 if w == 1 else w) for x, n, w in stack]
         if m["attrs"].endswith("/") and tag not in INLINE:
             continue
         stack.append((tag, number, how))
+        if how == 1:
+            hinted.add(number)
         reset()
     text(page[at:])
-    return nodes
+    return nodes, hinted
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -206,7 +212,14 @@ def kept_nodes(nodes: list) -> list[bool]:
 
 
 def main_text(page: str) -> str:
-    nodes = text_nodes(page)
+    nodes, hinted = text_nodes(page)
+    if hinted:  # part of a name is a hint only: what holds the content stays
+        chosen, mass, _, total = _weighed(nodes)
+        gone = {i for i in hinted if mass.get(i, 0.0) < SMALL * total}
+        rest = [x for x in nodes if x[2] is None or gone.isdisjoint(x[0])]
+        sizes = [(len(x[2]), gone.isdisjoint(x[0])) for x, c in zip(nodes, chosen, strict=True) if c]
+        if 2 * sum(n for n, stays in sizes if stays) >= sum(n for n, _ in sizes):
+            nodes = rest
     blocks, run = [], []
     for (_, _, t), keep in zip([*nodes, ((), (), None)], [*kept_nodes(nodes), True], strict=True):
         if t is None:

@@ -233,6 +233,14 @@ def test_pages_keep_all_content_nodes():
     assert html_text.main_text(page).endswith(third)
 
 
+@pytest.mark.parametrize("name", ["container right-sidebar", "with-sidebar", "has-toc", "ad-free-content", "toc-enabled"])
+def test_pages_in_layout_wrappers(name):
+    page = f'<body><div class="{name}"><div class=post-content><p>{PARAGRAPH}</p><p>More. {PARAGRAPH}</p></div><div class="post-comments"><p>Nice!</p></div></div>'
+    assert html_text.main_text(page) == f"{PARAGRAPH}More. {PARAGRAPH}".strip()
+    parts = "".join(f'<div class="{name}"><p>{i} {PARAGRAPH}</p></div>' for i in range(9))
+    assert html_text.main_text(f"<body>{parts}</body>") == "".join(f"{i} {PARAGRAPH}" for i in range(9)).strip()
+
+
 # 5: sharding
 
 def test_slots_are_claimed_in_turns_by_preference():
