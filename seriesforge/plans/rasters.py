@@ -203,7 +203,7 @@ def pca_2d(spark: SparkSession, d: str) -> DataFrame:
 
 def forest_regressor(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").withColumn("label", F.col("label").cast("double"))
-    return metrics.forest_predictions(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "embedding", ["label"], trees=20).select("vec_id", "label", "label_predicted")
+    return metrics.forest_predictions(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "embedding", ["label"]).select("vec_id", "label", "label_predicted")
 
 
 QUERIES = {

@@ -24,3 +24,12 @@ def test_entry_has_rows(spark):
 def test_models_return_rows(spark):
     for name in ("pca_2d", "forest_regressor"):
         assert registry.queries()[name](spark, DATA).count() > 0
+
+
+def test_forest_has_the_trees_of_the_reference(spark, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    grown, fit = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, *a: grown.append(out := fit(self, *a)) or out)
+    registry.queries()["forest_regressor"](spark, DATA)
+    assert [m.getNumTrees for m in grown] == [100]
