@@ -10,28 +10,31 @@ their class, take the places of the patterns.
 
 Only the histogram reaches the driver and only the pattern table (bounded by
 the classes) is broadcast. Ranks come from windows over hash buckets of bounded
-size plus prefix sums of bucket counts, so no class, however large, meets in one
-task. Tokens are counted once and staged; a lost executor repeats little.
+size plus prefix sums of bucket counts by groups of buckets, so no class, however
+large, meets in one task. Tokens are counted once and staged; a lost executor repeats little.
 
-Defined results: a null text counts as empty and yields the end id alone; equal
-ids are packed like other rows, ties among them in any order; an empty table
-gives an empty result; further columns are ignored. Items never share tokens
+Defined results: a null text counts as empty and yields the end id alone; null
+and equal ids are packed like other rows, ties among them in any order; an empty table
+gives an empty result; further columns,
+whatever their names, are ignored. Items never share tokens
 and every token lies in exactly one piece.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from seriesforge.llm.common import map_rows, staged, table, texts_of
+from seriesforge.llm.common import map_rows, staged, table
 
 LENGTH = 2048
 END_ID = 1
@@ -39,18 +42,25 @@ END_ID = 1
 GRAIN = 8
 #: Rows to a ranking bucket, about.
 BUCKET_ROWS = 20_000
+#: Groups of buckets whose sums are added up first.
+GROUPS = 512
 #: The program counts as solved this near to its bound, or after so many rounds of pricing.
 GAP = 5e-4
 MOST_ROUNDS = 30
 MOST_COLUMNS = 2_500
-#: Distinct words a worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
-MARKS = b".,!?;:*%$&#|\"()"
+#: Parts of words that a worker remembers, those met last.
+CACHE_PARTS = 400_000
+#: Bytes of text tokenised at once in a task.
+TEXT_BYTES = 8 << 20
+#: Small letters that no normaliser changes, and ASCII marks but the apostrophe.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u012f\u0131-\u017f"
+MARKS = r"!-&(-/:-@\[-`{-~"
+#: Parts of a word that the vocabulary's splitter keeps apart: letters, single digits, marks. An apostrophe may begin
+#: a part with letters, and other characters may be composed anew, so words with them go through the whole tokenizer.
+PARTS = re.compile(rf"[{LETTERS}]+|[0-9]|[{MARKS}]+")
 
-#: Byte-level models write bytes that print as themselves and the others, in order, from 256 on.
-BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
-
-_ids_of: dict[bytes, bytes] = {}
+#: Byte-level models write bytes that print as themselves and the others, in order, from 256 on; the space stays as it separates.
+BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)) if b != 32}
 
 
 @lru_cache(maxsize=2)
@@ -61,80 +71,138 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-def _packed_ids(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+@lru_cache(maxsize=2)
+def part_tokenizer(path: str):
+    """The vocabulary's model over parts between single spaces, and which ids end a part."""
+    from tokenizers import pre_tokenizers
 
+    t = type(tokenizer(path)).from_file(path)
+    t.normalizer = None
+    t.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    ends = np.zeros(t.get_vocab_size(), bool)
+    ends[[i for x, i in t.get_vocab().items() if x.endswith("</w>")]] = True
+    return t, ends
 
-def _letters_only(word: bytes) -> str | None:
-    """The word in the characters of a byte-level model, if it is one run of small Latin letters.
 
-    Normaliser and splitter leave such a word as it is, so the model alone gives its ids.
-    """
-    if word.isalpha() and word.islower():
-        return word.decode()
-    x = word.decode("utf-8", "replace")
-    if x.isalpha() and x.islower() and max(x) < "\u0180" and x == x.lower():  # all of them composed letters
-        return word.decode("latin-1").translate(BYTE_CHARACTERS)
-    return None
+def vocabulary() -> str:
+    import public_tokenizers
 
+    return public_tokenizers.path("word_bpe_49k.json")
 
-def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit numbers, without the end id.
 
-    This vocabulary lower-cases, drops white space and never joins across it, so
-    ids of white-space-separated words are looked up and only new words encoded.
-    A closing run of ASCII marks is a token run of its own.
+class Rows:
+    """Rows of numbers, each of its own length, one after the other."""
+
+    def __init__(self, values: np.ndarray, size: np.ndarray) -> None:
+        self.values, self.size, self.first = values, size, np.cumsum(size) - size
+
+    def take(self, at: np.ndarray) -> Rows:
+        size = self.size[at]
+        begin = self.first[at] - np.cumsum(size) + size
+        return Rows(self.values[np.repeat(begin, size) + np.arange(size.sum())], size)
+
+    def then(self, other: Rows) -> Rows:
+        return Rows(np.r_[self.values, other.values], np.r_[self.size, other.size])
+
+
+def rows_of(lists: list[list[int]]) -> Rows:
+    return Rows(np.array([x for row in lists for x in row], "<u4"), np.array([len(row) for row in lists], np.int64))
+
+
+_known: dict[str, tuple[pa.Array, Rows]] = {}
+
+
+def part_ids(parts: pa.Array, path: str) -> Rows:
+    """The ids of distinct parts, none for an empty one: remembered ones, and all new ones encoded at once, where ids that end a part tell them apart."""
+    words, rows = _known.get(path, (pa.array([""], parts.type), rows_of([[]])))
+    place = pc.fill_null(pc.index_in(parts, value_set=words), -1).to_numpy().astype(np.int64)
+    missing = np.flatnonzero(place < 0)
+    missing = missing[np.argsort(~pc.string_is_ascii(parts.take(pa.array(missing))).to_numpy(zero_copy_only=False), kind="stable")]
+    new = parts.take(pa.array(missing))
+    if len(new):
+        t, ends = part_tokenizer(path)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([*range(0, len(new), 1000), len(new)], pa.int32()), new.cast(pa.string())), " ").to_pylist()
+        lines = [x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_CHARACTERS) for x in lines]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in t.encode_batch_fast(lines, add_special_tokens=False)])
+        rows = rows.then(Rows(ids, np.diff(np.flatnonzero(ends[ids]), prepend=-1)))
+    place[missing] = len(words) + np.arange(len(new))
+    # Remembered next: the empty part, those of now, those before them.
+    used = np.zeros(len(words), bool)
+    used[0] = used[place[place < len(words)]] = True
+    now = np.flatnonzero(place)
+    kept = np.r_[0, place[now], np.flatnonzero(~used)][: max(CACHE_PARTS, len(now) + 1)]
+    _known[path] = pa.concat_arrays([words, new]).take(pa.array(kept)), rows.take(kept)
+    return rows.take(place)
+
+
+def word_ids(words: pa.Array, path: str) -> Rows:
+    """The ids of distinct words of text in small ASCII letters; no part of a word crosses white space."""
+    plain = pc.match_substring_regex(words, f"^[{LETTERS}]+[{MARKS}]*$")
+    simple = words.filter(plain)
+    core = pc.replace_substring_regex(simple, f"[{MARKS}]+$", "")
+    tail = pc.replace_substring_regex(simple, f"^[{LETTERS}]+", "")
+    others = words.filter(pc.invert(plain)).to_pylist()
+    split = [PARTS.findall(low) if sum(map(len, PARTS.findall(low := w.lower()))) == len(low) else None for w in others]
+    whole = [w for w, parts in zip(others, split, strict=True) if parts is None]
+    more = pa.array([p for parts in split if parts for p in parts], words.type)
+    coded = pa.concat_arrays([core, tail, more]).dictionary_encode()
+    ids = part_ids(coded.dictionary, path).then(rows_of([e.ids for e in tokenizer(path).encode_batch_fast(whole, add_special_tokens=False)]))
+    # Each word as the parts it is made of: words that were encoded whole follow the parts.
+    code = coded.indices.to_numpy().astype(np.int64)
+    n, is_plain = len(simple), plain.to_numpy(zero_copy_only=False)
+    size = np.empty(len(words), np.int64)
+    size[is_plain] = 2
+    size[~is_plain] = [1 if parts is None else len(parts) for parts in split]
+    made = np.empty(size.sum(), np.int64)
+    own = np.repeat(is_plain, size)
+    made[own] = np.stack([code[:n], code[n : 2 * n]], axis=1).ravel()
+    at = np.repeat([parts is None for parts in split], size[~is_plain]) if split else np.zeros(0, bool)
+    rest = np.empty(len(at), np.int64)
+    rest[at] = len(coded.dictionary) + np.arange(len(whole))
+    rest[~at] = code[2 * n :]
+    made[~own] = rest
+    parts = ids.take(made)
+    return Rows(parts.values, np.diff(np.r_[0, np.cumsum(parts.size)][np.r_[0, np.cumsum(size)]]))
+
+
+def text_ids(column: pa.Array, path: str) -> Rows:
+    """The ids of each text, without the end id.
+
+    This vocabulary lower-cases, drops white space and never joins across it, so the distinct words of
+    the texts are encoded once and their ids dealt to all places.
     """
-    t = tokenizer(path)
-    known = _ids_of
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    split = [x.lower().split() for x in texts]
-    new = {w for words in split for w in words if w not in known}
-    cores: dict[bytes, tuple[bytes, bytes]] = {}
-    wanted: set[bytes] = set()
-    for w in new:
-        core = w.rstrip(MARKS)
-        if len(core) < len(w) and core and core[-1:].isalnum():
-            cores[w] = core, w[len(core) :]
-            wanted.update(x for x in cores[w] if x not in known)
-        else:
-            wanted.add(w)
-    model = t.model
-    plain = {w: x for w in wanted if (x := _letters_only(w)) is not None}
-    for w, x in plain.items():
-        known[w] = _packed_ids([k.id for k in model.tokenize(x)])
-    order = [w for w in wanted if w not in plain]
-    for w, e in zip(order, t.encode_batch_fast([w.decode("utf-8", "replace") for w in order], add_special_tokens=False), strict=True):
-        known[w] = _packed_ids(e.ids)
-    for w, (core, marks) in cores.items():
-        known[w] = known[core] + known[marks]
-    out = []
-    for raw, words in zip(texts, split, strict=True):
-        if b"<|" in raw:  # special tokens are matched before case is folded
-            out.append(_packed_ids(t.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids))
-        else:
-            out.append(b"".join(map(known.__getitem__, words)))
-    return out
+    texts = pc.fill_null(column, "").cast(pa.large_string())
+    split = pc.ascii_split_whitespace(texts)
+    bounds = split.offsets.to_numpy()
+    coded = pc.ascii_lower(split.values).dictionary_encode()  # of whole arrays: this function goes wrong on slices
+    ids = word_ids(coded.dictionary, path).take(coded.indices.to_numpy())
+    ends = np.r_[0, np.cumsum(ids.size)][bounds]
+    rows = Rows(ids.values, np.diff(ends))
+    # Special tokens are matched before case is folded: such texts go through the whole tokenizer.
+    own = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+    if len(own):
+        n = len(rows.size)
+        rows = rows.then(rows_of([tokenizer(path).encode(texts[i].as_py(), add_special_tokens=False).ids for i in own.tolist()]))
+        at = np.arange(n)
+        at[own] = n + np.arange(len(own))
+        rows = rows.take(at)
+    return rows
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, doc_tokens, and the crc32 of each 2048-token piece and the remainder."""
     path = path or vocabulary()
-    end = _packed_ids([END_ID])
+    end = np.array([END_ID], "<u4").tobytes()
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [x + end for x in token_bytes(texts_of(b["text"]), path)]
-        crcs = [[zlib.crc32(x[i : i + 4 * LENGTH]) for i in range(0, len(x), 4 * LENGTH)] for x in ids]
-        return pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
+        rows = text_ids(b["text"], path)
+        held, crcs = memoryview(rows.values.tobytes()), []
+        for first, size in zip(rows.first.tolist(), rows.size.tolist(), strict=True):
+            cuts = [zlib.crc32(held[4 * (first + i) : 4 * (first + min(i + LENGTH, size))]) for i in range(0, size + 1, LENGTH)]
+            crcs.append([*cuts[:-1], zlib.crc32(end, cuts[-1])])
+        return pa.RecordBatch.from_arrays([b["doc_id"], pa.array(rows.size + 1, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "text", batch, "doc_id long, doc_tokens long, crcs array<long>")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "text", batch, "doc_id long, doc_tokens long, crcs array<long>", TEXT_BYTES)
 
 
 # The linear program, over class counts only.
@@ -271,6 +339,19 @@ def places(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, i
     return out
 
 
+def first_ranks(counts: DataFrame, groups: int) -> DataFrame:
+    """``before``, added to rows (size, bucket, n): what the buckets before hold of the size.
+
+    Sums go by groups of buckets, at most GROUPS of them, then inside a group.
+    """
+    counts = counts.withColumn("part", (F.col("bucket") % groups).cast("int"))
+    by_part = counts.groupBy("size", "part").agg(F.sum("n").alias("n"))
+    earlier = lambda *key: W.partitionBy("size", *key[:-1]).orderBy(key[-1]).rowsBetween(W.unboundedPreceding, -1)
+    by_part = by_part.select("size", "part", F.coalesce(F.sum("n").over(earlier("part")), F.lit(0)).alias("earlier_parts"))
+    inside = counts.withColumn("inside", F.coalesce(F.sum("n").over(earlier("part", "bucket")), F.lit(0)))
+    return inside.join(by_part, ["size", "part"]).select("size", "bucket", "n", (F.col("inside") + F.col("earlier_parts")).alias("before"))
+
+
 def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
@@ -283,31 +364,33 @@ def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     patterns = plan({k: v for k, v in counts.items() if k}, LENGTH // GRAIN)
     packed_sequences = sum(n for _, n in patterns)
     buckets = max(256, rows // BUCKET_ROWS)
-    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    # Staged rows keep their partition, so repeated ids spread over the buckets like others.
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(buckets)))
 
     # Rank inside (class, bucket) and full pieces before the row inside the bucket; then what other buckets hold before.
     order = [F.col("doc_id"), F.col("doc_tokens"), F.col("crcs")]
     inside = items.withColumn("fulls", F.sum("full").over(W.partitionBy("bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("full"))
     inside = inside.withColumn("rank", F.row_number().over(W.partitionBy("bucket", "size").orderBy(*order)) - 1)
-    before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    by_class = items.groupBy("size", "bucket").agg(F.count("*").alias("n"))
-    by_class = by_class.select("size", "bucket", F.coalesce(F.sum("n").over(before.partitionBy("size")), F.lit(0)).alias("before"))
-    by_bucket = items.groupBy("bucket").agg(F.sum("full").alias("n"))
-    # One row a bucket: a few bytes for every BUCKET_ROWS rows.
-    by_bucket = by_bucket.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("fulls_before"))
-    ranked = inside.join(by_class, ["size", "bucket"]).join(by_bucket, "bucket").withColumn("rank", F.col("rank") + F.col("before"))
+    by_class = first_ranks(items.groupBy("size", "bucket").agg(F.count("*").alias("n")), GROUPS)
+    by_bucket = first_ranks(items.groupBy("bucket").agg(F.sum("full").alias("n")).select(F.lit(0).alias("size"), "bucket", "n"), GROUPS)
+
+    # The places that a class's ranks in a bucket can take: one or a few of its patterns.
+    schema = "size int, spots array<struct<from_rank:long,to_rank:long,sequence:long,each:long,place:long>>"
+    spots: dict[int, list[tuple[int, ...]]] = {}
+    for size, *spot in places(patterns):
+        spots.setdefault(size, []).append(tuple(spot))
+    by_class = by_class.join(F.broadcast(spark.createDataFrame(sorted(spots.items()), schema)), "size", "left")  # bounded by the classes, not by the rows
+    by_class = by_class.withColumn("spots", F.filter("spots", lambda s: (s["from_rank"] < F.col("before") + F.col("n")) & (s["to_rank"] > F.col("before")))).drop("n")
+    ranked = inside.join(by_class, ["size", "bucket"]).join(by_bucket.select("bucket", F.col("before").alias("fulls_before")), "bucket").withColumn("rank", F.col("rank") + F.col("before"))
     ranked = ranked.withColumn("first_full", F.col("fulls") + F.col("fulls_before") + packed_sequences)
 
-    schema = "size int, from_rank long, to_rank long, sequence long, each long, place long"
-    table_of_places = spark.createDataFrame(places(patterns), schema)
     piece = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"]
-    at = F.col("rank") - F.col("from_rank")
+    at = F.col("rank") - F.col("spot.from_rank")
     tails = (
         ranked.where("size > 0")
-        .join(F.broadcast(table_of_places), "size")  # bounded by the classes, not by the rows
-        .where("rank >= from_rank and rank < to_rank")
-        .withColumn("sequence_id", F.col("sequence") + F.floor(at / F.col("each")))
-        .withColumn("place", F.col("place") + at % F.col("each"))
+        .withColumn("spot", F.get(F.filter("spots", lambda s: (F.col("rank") >= s["from_rank"]) & (F.col("rank") < s["to_rank"])), F.lit(0)))
+        .withColumn("sequence_id", F.col("spot.sequence") + F.floor(at / F.col("spot.each")))
+        .withColumn("place", F.col("spot.place") + at % F.col("spot.each"))
         .withColumn("start", F.col("full") * LENGTH)
         .withColumn("length", rest)
         .withColumn("ids_crc32", F.element_at("crcs", -1))
