@@ -1,18 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as a sequence of text nodes, each with its root-to-leaf path of
-tags. Text length and punctuation are gathered per distinct path; their ratios
-to the number of nodes on the path are smoothed along the page, fused, and
-thresholded by their spread. The element that holds the chosen nodes is the
-article; what lies in it stays, except for parts that markup names as menus,
-notices, adverts, forms, comments and the like.
+A page is read as a sequence of blocks of text, each with its root-to-leaf path
+of block tags. Text length and punctuation outside links are gathered per
+distinct path; their ratios to the number of blocks on the path are smoothed
+along the page, fused with what the path has itself, and paths are thresholded
+by the spread of these scores. Blocks on the chosen paths are the article,
+with what stands amid them in the same element (or in the same article
+element) and is not links, and the headings right before them.
+
+Names in markup (nav, comments, adverts, forms and the like) never delete text
+by themselves: a faint hint lowers the score of a path, a clear one lets the
+elements of that name go if enough of the content is outside of them. So a
+form or a "with-sidebar" around the whole page stays.
 
 Each page is handled alone inside its task, so nothing is shuffled and a host
 with a third of all pages is no hot group.
 
 Defined results: a null or empty page gives an empty text; a page without
-markup is its own text; unclosed and stray tags are tolerated; repeated rows
-give repeated results; further columns are ignored.
+markup is its own text; a page of links or headings alone gives them; unclosed
+and stray tags are tolerated; null and repeated ids are returned as they are;
+an empty table gives an empty result; further columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +37,7 @@ from seriesforge.llm.common import map_rows, table, texts_of
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title|select|object|math)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title|select|object|annotation)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z!?][^>]*+>|<[!?][^>]*+>",
     re.S | re.I,
@@ -36,8 +45,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-#: Elements that are never article text.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+#: Elements that are named for what is not article text.
 DROPPED = frozenset("head nav footer aside form button menu dialog select textarea fieldset script style".split())
 #: What a start tag closes when it is still open.
 CLOSES = {x: ("p",) for x in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
@@ -48,64 +57,90 @@ SCOPE = frozenset("html body article section main div table ul ol dl nav aside f
 HINT = (
     "ad|ads|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|"
     "alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|paywall|sidebar|side-bar|rail|menu|nav|navbar|navigation|topbar|"
-    "breadcrumb|breadcrumbs|footer|masthead|comment|comments|commentlist|reply|replies|respond|disqus|discussion|share|sharing|social|"
+    "breadcrumb|breadcrumbs|footer|masthead|share|sharing|social|"
     "related|recommended|recommendations|trending|widget|widgets|toolbar|pagination|pager|login|search|searchbox|form|skip|skip-link|copyright|tags|toc"
 )
-WHOLE = re.compile(rf"(?:{HINT}|header|site-header|page-header)\Z", re.I)
-PARTLY = re.compile(rf"(?:(?:{HINT})[-_].*|.*[-_](?:{HINT}))\Z", re.I)
+REMARKS = "comment|comments|commentlist|reply|replies|respond|disqus|discussion"
+WHOLE = re.compile(rf"(?:{HINT}|{REMARKS}|header|site-header|page-header|.*[-_](?:{REMARKS}))\Z", re.I)
+LAST = re.compile(rf".*[-_](?:{HINT})\Z", re.I)
+FIRST = re.compile(rf"(?:{HINT}|{REMARKS})[-_].*\Z", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-#: Weights of the smoothing window around a node.
+#: Weights of the smoothing window around a block.
 WINDOW = [math.exp(-(d * d) / 2) for d in range(-2, 3)]
+#: Weight of a path without punctuation.
+UNMARKED = 0.2
 #: A path is content from this many standard deviations of the fused scores on.
 SPREADS = 0.5
-#: Elements whose names hint in part that they are no article text go if each holds less of the content, and all of them at most half.
-SMALL = 0.2
+#: How sure a name is: HIDDEN text is never shown; the others only lower a score or give way to better text.
+FAINT, LIKELY, SURE, HIDDEN = 1, 2, 3, 4
+#: Score of a path whose element's name faintly hints that it is no article text, as a share.
+FAINT_SHARE = 0.5
+#: Elements of one name go if at least this share of the content is outside them.
+OUTSIDE = {LIKELY: 0.3, SURE: 0.03}
 HEADING = re.compile(r"h[1-6]\Z")
 
 
 def _named(tag: str, attrs: str, inside_article: bool) -> int:
-    """2 if the markup says that this is no article text, 1 if it says so in part of a name, else 0."""
-    if tag in DROPPED or tag == "header" and not inside_article:
-        return 2
+    """How surely the markup says that this is no article text."""
+    found = SURE if tag in DROPPED or tag == "header" and not inside_article else 0
     if not attrs or tag in ("html", "body", "main"):
-        return 0
-    found = 0
+        return HIDDEN if tag == "head" else found
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return 2
+            return HIDDEN
         if name == "role" and value.lower() in ROLES:
-            return 2
-        if name in ("class", "id"):
+            found = SURE
+        elif name in ("class", "id"):
             for x in value.split():
-                if WHOLE.match(x):
-                    return 2
-                if PARTLY.match(x):
-                    found = 1
+                found = max(found, SURE if WHOLE.match(x) else LIKELY if LAST.match(x) else FAINT if FIRST.match(x) else 0)
     return found
 
 
-def text_nodes(page: str) -> tuple[list[tuple[tuple[int, ...], tuple[str, ...], str]], set[int]]:
-    """(chain of element numbers, path of tags, decoded text) of nodes that markup does not rule out, and the elements partly named as such.
+@dataclass
+class Block:
+    """Text between two borders of blocks."""
+
+    chain: tuple[int, ...]  # numbers of the block elements around it
+    path: tuple[str, ...]  # their tags, with a mark for what their names hint at
+    text: str
+    own: int  # characters outside links
+    marks: int  # punctuation outside links
+
+    @property
+    def linked(self) -> bool:
+        return 2 * self.own < len(self.text)
 
-    A text of None marks the border of a block.
-    """
-    nodes: list = []
-    hinted: set[int] = set()
-    stack: list[tuple[str, int, int]] = []  # tag, number, how surely dropped
-    chain: tuple[int, ...] = ()
-    path: tuple[str, ...] = ()
-    dropped, number, at, articles = 0, 0, 0, 0
 
-    def reset() -> None:
-        nonlocal chain, path, dropped, articles
-        chain, path = tuple(x[1] for x in stack), tuple(x[0] for x in stack)
-        dropped, articles = max((x[2] for x in stack), default=0), sum(x[0] == "article" for x in stack)
+def blocks_of(page: str) -> tuple[list[Block], dict[int, tuple[int, str]]]:
+    """The page's blocks, and how surely which elements (by number, with their start tag) are named as no article text."""
+    out: list[Block] = []
+    hints: dict[int, tuple[int, str]] = {}
+    stack: list[tuple[str, int, int]] = []  # tag, number, hint
+    run: list[tuple[str, bool]] = []
+    number, at, hidden, articles, links = 0, 0, 0, 0, 0
 
     def text(raw: str) -> None:
-        if raw and dropped < 2:
-            nodes.append((chain, path, html.unescape(raw) if "&" in raw else raw))
+        if raw and not hidden:
+            run.append((html.unescape(raw) if "&" in raw else raw, links > 0))
+
+    def border() -> None:
+        if run:
+            joined = " ".join("".join(x for x, _ in run).split())
+            if joined:
+                own = joined if not any(is_link for _, is_link in run) else " ".join("".join(x for x, is_link in run if not is_link).split())
+                outer = [x for x in stack if x[0] not in INLINE]
+                out.append(Block(tuple(x[1] for x in outer), tuple(x[0] + "?!!"[x[2] - 1] if x[2] else x[0] for x in outer), joined, len(own), len(PUNCTUATION.findall(own))))
+            run.clear()
+
+    def closed(i: int) -> None:
+        nonlocal hidden, articles, links
+        for tag, _, how in stack[i:]:
+            hidden -= how == HIDDEN
+            articles -= tag == "article"
+            links -= tag == "a"
+        del stack[i:]
 
     for m in TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -118,14 +153,13 @@ def text_nodes(page: str) -> tuple[list[tuple[tuple[int, ...], tuple[str, ...],
             text(" ")
             continue
         if tag not in INLINE:
-            nodes.append((chain, path, None))
+            border()
         if tag in VOID:
             continue
         if m["end"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    del stack[i:]
-                    reset()
+                    closed(i)
                     break
                 if tag == "p" and stack[i][0] in SCOPE:
                     break
@@ -133,26 +167,25 @@ def text_nodes(page: str) -> tuple[list[tuple[tuple[int, ...], tuple[str, ...],
         if closes := CLOSES.get(tag):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in closes:
-                    del stack[i:]
-                    reset()
+                    closed(i)
                 elif stack[i][0] in SCOPE:
                     break
-        number += 1
-        how = _named(tag, m["attrs"], articles > 0)
-        if tag in ("article", "main") and not how:  # a partly matching name around an article was about the layout
-            hinted.difference_update(n for _, n, w in stack if w == 1)
-            stack[:] = [(x, n, 0 if w == 1 else w) for x, n, w in stack]
         if m["attrs"].endswith("/") and tag not in INLINE:
             continue
+        number += 1
+        how = _named(tag, m["attrs"], articles > 0)
+        if how in (LIKELY, SURE):
+            hints[number] = how, m[0]
         stack.append((tag, number, how))
-        if how == 1:
-            hinted.add(number)
-        reset()
+        hidden += how == HIDDEN
+        articles += tag == "article"
+        links += tag == "a"
     text(page[at:])
-    return nodes, hinted
+    border()
+    return out, hints
 
 
-def _smooth(x: list[float]) -> list[float]:
+def smoothed(x: list[float]) -> list[float]:
     n = len(x)
     out = []
     for i in range(n):
@@ -162,73 +195,80 @@ def _smooth(x: list[float]) -> list[float]:
     return out
 
 
-def _weighed(nodes: list) -> tuple[list[bool], dict[int, float], dict[int, str], float]:
-    """Whether each node is content by its tag path; the content mass and tags of elements that hold some; the whole mass."""
-    real = [(k, c, p, len(t), len(PUNCTUATION.findall(t))) for k, (c, p, t) in enumerate(nodes) if t and not t.isspace()]
-    chosen, mass, names, total = [False] * len(nodes), {}, {}, 0.0
-    by_path: dict[tuple[str, ...], list[float]] = {}
-    for _, _, p, n, marks in real:
-        s = by_path.setdefault(p, [0, 0, 0, 0])
+def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
+    """The ratios of each path, before smoothing: text and punctuation outside links for each block on it, the spread of their lengths, and all its text."""
+    sums: dict[tuple[str, ...], list[int]] = {}
+    for x in blocks:
+        s = sums.setdefault(x.path, [0, 0, 0, 0])
         s[0] += 1
-        s[1] += n
-        s[2] += marks
-        s[3] += n * n
-    if not by_path:
-        return chosen, mass, names, total
-    score = {}
-    for p, (k, n, marks, squares) in by_path.items():
+        s[1] += x.own
+        s[2] += x.marks
+        s[3] += x.own * x.own
+    out = {}
+    for p, (k, n, marks, squares) in sums.items():
         spread = math.sqrt(max(0.0, squares / k - (n / k) ** 2))
-        score[p] = math.log1p(n / k) * math.log1p(1 + marks / k) * math.log1p(1 + spread) * math.log1p(n)
-    fused = _smooth([score[p] for _, _, p, _, _ in real])
+        faint = FAINT_SHARE ** sum(x.endswith("?") for x in p)
+        out[p] = faint * math.sqrt(n / k) * math.log1p(UNMARKED + marks / k) * math.log1p(1 + spread) * math.log1p(n)
+    return out
+
+
+def content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
+    """Paths whose scores, fused with the smoothed scores around their blocks, reach the threshold."""
+    score = path_scores(blocks)
+    own = [score[x.path] for x in blocks]
+    fused = [math.sqrt(a * b) for a, b in zip(own, smoothed(own), strict=True)]
+    if not any(fused):
+        return set()
     mean = sum(fused) / len(fused)
     cut = SPREADS * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    for (k, c, p, n, _), f in zip(real, fused, strict=True):
-        if f >= cut:
-            chosen[k] = True
-            total += n * f
-            for i, x in zip(c, p, strict=True):
-                mass[i] = mass.get(i, 0.0) + n * f
-                names[i] = x
-    return chosen, mass, names, total
-
-
-def kept_nodes(nodes: list) -> list[bool]:
-    """Whether each node is main text: content by its path, inside an element that holds content, or a heading of such text."""
-    chosen, mass, names, total = _weighed(nodes)
-    best = {i for i, x in names.items() if x in ("article", "main")}
-    named = bool(best) and sum(m for i, m in mass.items() if i in best and names[i] == "article") >= 0.5 * total
-    if named:  # articles hold it; a main around them may hold less of it besides
-        best = {i for i in best if names[i] == "article"}
-    elif not any(mass[i] >= 0.5 * total for i in best):
-        best = {max((i for i, x in names.items() if mass[i] >= 0.9 * total and x not in INLINE and not x.startswith("h") and x != "p"), default=0)}
-    keep = [0 in best or chosen[k] or not best.isdisjoint(c) for k, (c, _, _) in enumerate(nodes)]
-    after = False
-    for k in range(len(nodes) - 1, -1, -1):
-        _, p, t = nodes[k]
-        if t and not t.isspace():
-            keep[k] = keep[k] or "h1" in p or after and any(HEADING.match(x) for x in p)
-            after = keep[k]
-    return keep
+    by_path: dict[tuple[str, ...], list[float]] = {}
+    for x, f in zip(blocks, fused, strict=True):
+        by_path.setdefault(x.path, []).append(f)
+    return {p for p, f in by_path.items() if 0 < sum(f) / len(f) >= cut}
+
+
+def without_named(blocks: list[Block], hints: dict[int, tuple[int, str]]) -> list[Block]:
+    """The blocks outside elements whose names rule them out, where enough content is left outside."""
+    chosen = content_paths(blocks)
+    content = [x for x in blocks if x.path in chosen]
+    total = sum(len(x.text) for x in content)
+    groups: dict[tuple[int, str], set[int]] = {}
+    for i, hint in hints.items():
+        groups.setdefault(hint, set()).add(i)
+    inside = {h: sum(len(x.text) for x in content if not ids.isdisjoint(x.chain)) for h, ids in groups.items()}
+    for (how, label), ids in sorted(groups.items(), key=lambda g: (inside[g[0]], g[0])):
+        rest = [x for x in content if ids.isdisjoint(x.chain)]
+        if sum(len(x.text) for x in rest) >= OUTSIDE[how] * total and (rest or not content):
+            content = rest
+            blocks = [x for x in blocks if ids.isdisjoint(x.chain)]
+    return blocks
 
 
 def main_text(page: str) -> str:
-    nodes, hinted = text_nodes(page)
-    if hinted:  # part of a name is a hint only: what holds the content stays
-        chosen, mass, _, total = _weighed(nodes)
-        gone = {i for i in hinted if mass.get(i, 0.0) < SMALL * total}
-        rest = [x for x in nodes if x[2] is None or gone.isdisjoint(x[0])]
-        sizes = [(len(x[2]), gone.isdisjoint(x[0])) for x, c in zip(nodes, chosen, strict=True) if c]
-        if 2 * sum(n for n, stays in sizes if stays) >= sum(n for n, _ in sizes):
-            nodes = rest
-    blocks, run = [], []
-    for (_, _, t), keep in zip([*nodes, ((), (), None)], [*kept_nodes(nodes), True], strict=True):
-        if t is None:
-            if run and (block := " ".join("".join(run).split())):
-                blocks.append(block)
-            run = []
-        elif keep:
-            run.append(t)
-    return " ".join(blocks)
+    blocks, hints = blocks_of(page)
+    left = without_named(blocks, hints) if hints else blocks
+    blocks = left or [x for x in blocks if not any(y.endswith("!") for y in x.path)]
+    chosen = content_paths(blocks)
+    keep = [x.path in chosen for x in blocks]
+    if not any(keep):  # nothing but links or headings
+        return " ".join(x.text for x in blocks)
+    first, last = keep.index(True), len(keep) - 1 - keep[::-1].index(True)
+    titles = [k for k in range(first) if "h1" in blocks[k].path]
+    first = titles[-1] if titles else first
+    # What stands amid the content, in the element that holds it or in its articles, belongs to it unless it is links.
+    holders = [x.chain for k, x in enumerate(blocks) if keep[k] or k in titles[-1:]]
+    common = 0
+    while all(len(c) > common and c[common] == holders[0][common] for c in holders):
+        common += 1
+    articles = {i for x, k in zip(blocks, keep, strict=True) if k for i, tag in zip(x.chain, x.path, strict=True) if tag.startswith("article")}
+    for k, x in enumerate(blocks):
+        amid = first <= k <= last and x.chain[:common] == holders[0][:common] or not articles.isdisjoint(x.chain)
+        keep[k] = keep[k] or k in titles[-1:] or amid and not x.linked
+    after = False
+    for k in range(len(keep) - 1, -1, -1):
+        keep[k] = keep[k] or after and any(HEADING.match(y) for y in blocks[k].path)
+        after = keep[k]
+    return " ".join(x.text for x, k in zip(blocks, keep, strict=True) if k)
 
 
 def _batch(b: pa.RecordBatch) -> pa.RecordBatch:
