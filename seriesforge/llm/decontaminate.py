@@ -123,8 +123,9 @@ def positions_for(words: int, edits: int) -> int:
     length = np.zeros(TRIALS, np.int64)
     for k in range(TRIALS):
         kind = np.zeros(words, int)
-        kind[rng.permutation(words)[:edits]] = rng.integers(1, 4, edits)
-        own = [x for i, w in enumerate(item.tolist()) for x in ((w,), (words + 1 + i,), (), (w, 2 * words + 1 + i))[kind[i]]][:words]
+        kind[rng.permutation(words)[:edits]] = k % 4 or rng.integers(1, 4, edits)  # changes, losses, additions alone, and all of them
+        own = [x for i, w in enumerate(item.tolist()) for x in ((w,), (words + 1 + i,), (), (w, 2 * words + 1 + i))[kind[i]]]
+        own = own[int(rng.integers(0, 1 + edits // 8)) :][:words]  # proposed places may be some words off
         copies[k, : len(own)], length[k] = own, len(own)
     steps = 3 * words
     mine = walked(mixed(item)[None], np.array([words]), steps)
@@ -228,7 +229,7 @@ class Block:
         out = np.zeros(len(places), bool)
         rows, place = [], []
         for k, (item, words, starts) in enumerate(places):
-            n, near = len(self.words[item]), max(1, self.edits[item] // 8)  # starts nearer to each other stand for the same place
+            n, near = len(self.words[item]), max(1, self.edits[item] // 64)  # starts nearer to each other stand for the same place
             at = np.unique(starts // near * near)[:, None] + np.arange(n)
             rows += list(np.where((at >= 0) & (at < len(words)), words[np.clip(at, 0, len(words) - 1)], np.uint64(0)))
             place += [k] * len(at)

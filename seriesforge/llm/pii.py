@@ -14,8 +14,10 @@ driver. Nothing is shuffled but those counts, combined per task first. The
 patterns are possessive and anchored, so their time is linear in the text.
 
 Defined results: a null text counts as empty; a document without spans has zero
-counts, an empty span list and the hash of the empty string; repeated rows give
-repeated results; an empty table gives an empty result.
+counts, an empty span list and the hash of the empty string; null and repeated
+ids are returned as they are, one row for each; an empty table gives an empty
+result; further columns, whatever their names, are ignored (``masked`` keeps
+them, and masks every row by its own text).
 """
 
 from __future__ import annotations
@@ -54,7 +56,14 @@ DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|info|io|co|de|fr|es|uk|it|nl|eu|ch|at|b
 CALLING_CODES = r"^\+ ?(?:1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|54|55|56|57|60|61|62|63|64|65|66|81|82|84|86|90|91|351|352|353|358|420|421)(?![0-9])"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
 RESERVED_IP = r"^(?:0|127|255)\."
-GIVEN_NAMES = r"(?i)\b(?:anna|marie|maria|john|james|mary|peter|paul|hans|klaus|jean|pierre|luis|carlos|jose|juan|ana|laura|thomas|michael|david|sarah|julia|sophie)\b"
+GIVEN_NAMES = (
+    r"(?i)\b(?:adam|alan|albert|alejandro|alex|alice|amy|ana|andrea|andreas|andrew|angela|anna|anne|anthony|antoine|antonio|barbara|ben|brian|camille|carlos|carmen|catherine|charles|"
+    r"chloe|christian|christine|claire|claudia|daniel|david|deborah|diana|diego|dirk|donald|edward|elena|elizabeth|emily|emma|eric|eva|fernando|francisco|françois|frank|gary|george|"
+    r"hannah|hans|heike|heinz|helen|henri|henry|ines|isabel|jacques|james|jan|jane|javier|jean|jennifer|jessica|joan|joe|john|jorge|jose|josé|joseph|juan|julia|julie|jürgen|karen|karl|"
+    r"kevin|klaus|laura|léa|linda|lisa|louis|lucia|luis|lukas|manuel|marc|margaret|maria|maría|marie|mark|martin|mary|matthew|michael|michel|miguel|monika|nancy|nathalie|nicole|olivier|"
+    r"pablo|patricia|paul|pedro|peter|philippe|pierre|rachel|ralf|raquel|rebecca|richard|robert|ronald|rosa|ruth|sabine|samuel|sandra|sara|sarah|sergio|sofia|sophie|stefan|stephen|steven|"
+    r"susan|susanne|teresa|thomas|ursula|uwe|victor|walter|werner|william|wolfgang|yves)\b"
+)
 SPEAKS_FOR = r"(?i)(?:e-?mail|mail|contact|phone|tel|call|fax|mobile|card|visa|credit|payment|host|address|ssn|iban|account|name|write to|signed|kontakt|telefon|correo|courriel)\W{0,4}(?:\w+\W{1,3}){0,2}$"
 SPEAKS_AGAINST = r"(?i)(?:version|release|isbn|doi|order|invoice|token|secret|commit|sha|checksum|page|figure|section|build|part no)\W{0,6}$"
 
@@ -102,16 +111,36 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.char_length(digits) - 1), F.lit(0), add) % 10 == 0
 
 
+def _iban(m: Column) -> Column:
+    """Whether the number, its first four characters last and letters as 10 to 35, leaves 1 when divided by 97."""
+    turned = F.concat(F.substring(m, F.lit(5), F.char_length(m)), F.left(m, F.lit(4)))
+
+    def add(rest: Column, c: Column) -> Column:
+        return (F.when(c.rlike("[0-9]"), rest * 10 + c.try_cast("int")).otherwise(rest * 100 + F.ascii(c) - 55)) % 97
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), add) == 1
+
+
 def _strict(kind: str, m: Column) -> Column:
-    """Whether the match holds the base rule of its kind."""
+    """Whether the match holds the rule of its kind; of the base kinds, the base rule."""
     n = F.char_length(_digits(m))
+    if kind == "email":
+        return F.lit(True)
     if kind == "ip":
         return F.forall(F.split(m, r"\."), lambda p: F.coalesce(p.try_cast("decimal(38,0)") <= 255, F.lit(False)))
     if kind == "card":
         return F.when(n.between(16, 19), _luhn(_digits(m))).otherwise(False)
     if kind == "phone":
         return n.between(8, 15)
-    return F.lit(True)
+    if kind == "email_spelled":
+        return m.rlike(r"(?:[\])] ?|\.)[A-Za-z]{2,10}$")
+    if kind == "phone_local":
+        return m.rlike(r"^(?:\([2-9][0-9]{2}\) |[2-9][0-9]{2}[ .-])[2-9][0-9]{2}")
+    if kind == "national_id":
+        return ~m.rlike(r"^(?:000|666|9)|-00-|-0000$")
+    if kind == "iban":
+        return _iban(m)
+    return m.rlike(r"\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$")  # a title and two names
 
 
 def _known(kind: str, m: Column) -> Column:
@@ -123,7 +152,7 @@ def _known(kind: str, m: Column) -> Column:
         "card": _digits(m).rlike(ISSUERS) & F.char_length(_digits(m)).between(15, 19),
         "phone": m.rlike(CALLING_CODES),
         "phone_local": m.rlike(r"^\(?[2-9]"),
-        "national_id": ~m.rlike(r"^(?:000|666|9)|-00-|-0000$"),
+        "national_id": ~m.rlike(r"^(?:123-45-6789|078-05-1120|219-09-9999)$|^([0-9])\1\1-"),
         "iban": m.rlike(r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)"),
         "person": m.rlike(GIVEN_NAMES),
     }[kind]
@@ -228,8 +257,9 @@ def personal_spans(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, marker: str = "[{}]") -> DataFrame:
-    """The documents with every span replaced by its kind; overlapping spans give way to the first."""
-    spans = personal_spans(docs).select(F.col("doc_id").alias("_span_id"), F.col("spans").alias("_spans"))
+    """The documents with every span replaced by its kind; overlapping spans give way to the first. Spans are found once for each text."""
+    key = F.sha2(docs["text"].cast("binary"), 256)
+    spans = personal_spans(docs.select(key.alias("doc_id"), "text").where("doc_id is not null").dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("_span_id"), F.col("spans").alias("_spans"))
     ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*(F.lit(marker.format(k)) for k in KINDS))
     empty = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
@@ -238,7 +268,7 @@ def masked(docs: DataFrame, marker: str = "[{}]") -> DataFrame:
         head = F.substring(docs["text"], (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
         return F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["text"], head, F.get(names, s["kind"])).alias("text"), s["end"].alias("at")))
 
-    joined = docs.join(spans.dropDuplicates(["_span_id"]), docs["doc_id"] == F.col("_span_id"), "left").withColumn("_cut", F.aggregate(ordered, empty, cut))
+    joined = docs.join(spans, key == F.col("_span_id"), "left").withColumn("_cut", F.aggregate(ordered, empty, cut))
     tail = F.substring(docs["text"], (F.col("_cut.at") + 1).cast("int"), F.char_length(docs["text"]))
     return joined.withColumn("text", F.when(F.size("_spans") > 0, F.concat("_cut.text", tail)).otherwise(docs["text"])).select(*docs.columns)
 

@@ -241,6 +241,43 @@ def test_pages_in_layout_wrappers(name):
     assert html_text.main_text(f"<body>{parts}</body>") == "".join(f"{i} {PARAGRAPH}" for i in range(9)).strip()
 
 
+P = PARAGRAPH.strip()
+LINKS = "<ul><li><a href=/>Home</a></li><li><a href=/b>About</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body>{LINKS}<div><h1>T</h1><p>1 {P}</p><p>2 {P}</p></div><p>All rights reserved 2020</p></body>", f"T 1 {P} 2 {P}"),
+        (f"<body>{LINKS}<article><h1>T</h1><p>1 {P}</p><div><a href=x>Buy now</a></div></article><div>All rights reserved 2020</div></body>", f"T 1 {P}"),
+        (f"<body><div class='layout-with-sidebar'><p>1 {P}</p><p>2 {P}</p></div></body>", f"1 {P} 2 {P}"),
+        (f"<body><div class='page-form'><p>1 {P}</p><p>2 {P}</p></div></body>", f"1 {P} 2 {P}"),
+        (f"<body><form id='aspnetForm'><nav><a>Menu</a></nav><article><h1>T</h1><p>1 {P}</p></article><footer>f</footer></form></body>", f"T 1 {P}"),
+        (f"<main><article><p>1 {P}</p></article><article><p>2 {P}</p></article></main>", f"1 {P} 2 {P}"),
+        (f"<article><p>1 {P}</p><section class='related-work'><h2>Related</h2><p>2 {P}</p></section><p>3 {P} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p></article>", f"1 {P} Related 2 {P} 3 {P} x=2 here."),
+        (f"<article><p>1 {P}</p></article><div class=comments>" + "".join(f"<p>c{i} {P}</p>" for i in range(20)) + "</div>", f"1 {P}"),
+        (f"<article><h1>T</h1><p>1 {P}</p><ul><li>one thing</li><li>two <a>things</a> more words</li></ul><table><tr><td>a<td>b</table><p>2 {P}</p></article>", f"T 1 {P} one thing two things more words a b 2 {P}"),
+    ],
+)
+def test_pages_by_their_paths(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_path_scores_equal_plain_sums():
+    import math
+
+    rng = random.Random(2)
+    blocks = [html_text.Block((), rng.choice([("body", "p"), ("body", "div?", "p"), ("li",)]), "x" * n, n, rng.randrange(9)) for n in rng.choices(range(200), k=60)]
+    for path, got in html_text.path_scores(blocks).items():
+        own = [b for b in blocks if b.path == path]
+        size = np.array([b.own for b in own], float)
+        want = (0.5 if "div?" in path else 1) * math.sqrt(size.mean()) * math.log1p(0.2 + np.mean([b.marks for b in own])) * math.log1p(1 + size.std()) * math.log1p(size.sum())
+        assert got == pytest.approx(want)
+    x = [rng.random() for _ in range(30)]
+    weight = lambda i, j: math.exp(-((i - j) ** 2) / 2) if abs(i - j) <= 2 else 0.0
+    assert html_text.smoothed(x) == pytest.approx([sum(weight(i, j) * y for j, y in enumerate(x)) / sum(weight(i, j) for j in range(30)) for i in range(30)])
+
+
 # 5: sharding
 
 def test_slots_are_claimed_in_turns_by_preference():
@@ -316,7 +353,7 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminated(documents(spark, texts), table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("size", [5, 14, 59, 300, 1000])
+@pytest.mark.parametrize("size", [5, 14, 20, 59, 60, 150, 300, 400, 600, 1000])
 def test_decontamination_finds_every_item_at_the_allowed_edits(size):
     rng = random.Random(size)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -336,6 +373,45 @@ def test_decontamination_finds_every_item_at_the_allowed_edits(size):
     assert [x[:3] for x in sorted(index.hits(docs))] == want
 
 
+def test_random_walks_equal_a_plain_walk():
+    rng = np.random.default_rng(5)
+    rows, length = rng.integers(1, 9, (6, 10)).astype(np.uint64), np.array([10, 9, 5, 1, 10, 0])
+    got = decontaminate.walked(rows, length, 30)
+    for w in range(decontaminate.WALKS):
+        move = {}
+        for k in range(6):
+            at = 0
+            for j in range(30):
+                word = int(rows[k, at]) if at < length[k] else 0
+                assert got[j, k, w] == word
+                seed = decontaminate.mixed(np.array([w + 1], np.uint64))[0]
+                bit = int(decontaminate.mixed(np.array([(word + int(seed) + (j + 1) * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0] >> np.uint64(63))
+                assert move.setdefault((j, word), bit) == bit  # equal words move alike
+                at += bit
+
+
+def test_decontamination_of_items_with_one_opening_holds_little():
+    import tracemalloc
+
+    opening = " ".join(f"w{i}" for i in range(17))
+    index = decontaminate.Block([(i, f"{opening} x{i} y{i} z{i}".encode()) for i in range(300)], 0.8)
+    words = decontaminate.words_of(" ".join([opening] * 90).encode())
+    tracemalloc.start()
+    assert len(index.hits([words])) == 300
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def test_decontamination_in_blocks_equals_one_block(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i}") for i in range(40)] + [(None, "one two three four five six")], "item_id long, text string")
+    docs = documents(spark, [*(f"x alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i} y" for i in range(40)), "one two three four five six", None], ids=[*range(40), None, 7])
+    whole = sorted(map(str, decontaminate.contaminated(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    assert sorted(map(str, decontaminate.contaminated(docs, items).collect())) == whole
+    assert len(whole) == 41
+
+
 def test_edit_distance_equals_a_plain_table():
     rng = np.random.default_rng(6)
     for _ in range(20):
@@ -367,6 +443,34 @@ def test_secrets(spark):
     assert secrets.found_secrets(documents(spark, ODD)).count() == len(ODD)
 
 
+def plain_secrets(x):
+    """The contract's three patterns, written anew."""
+    import regex
+
+    found = [(m.start(), "assign", m.end()) for m in regex.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", x) if m.end(2) - m.start(2) >= 8]
+    found += [(m.start(), "access", m.end()) for m in regex.finditer("AKIA[A-Z0-9]+", x) if m.end() - m.start() >= 16]
+    found += [(m.start(), "hex", m.end()) for m in regex.finditer("[0-9a-f]+", x) if m.end() - m.start() >= 32]
+    return sorted(found, key=lambda f: (f[0], ["assign", "access", "hex"].index(f[1])))
+
+
+def test_secret_base_equals_plain_patterns(spark):
+    rows = [*spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect(), *((10**6 + i, t) for i, t in enumerate([*ODD, 'Api_KEY"= \'abc.def-12" tokenTOKEN:=x token: :12345678', "AKIAAKIA" + "Z" * 9 + "a" + "f" * 40]))]
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+    line = lambda found: ",".join(f"{k}:{a}:{b}" for a, k, b in found)
+    want = {i: plain_secrets(t or "") for i, t in rows}
+    assert sum(map(bool, want.values())) > 10
+    for r in secrets.found_secrets(docs).collect():
+        assert line([(s.start, s.kind, s.end) for s in r.spans if s.kind != "novel"]) == line(want[r.doc_id])
+
+
+@pytest.mark.parametrize("size", [16, 20, 40, 511, 512, 513, 5_000, 100_000])
+def test_planted_secrets_of_any_length(size):
+    rng = random.Random(size)
+    for head in ("auth bearer ", "client credential = ", "session cookie: "):
+        key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(size))
+        assert secrets.novel_spans(f"some words {head}{key}\n", []) == [(11 + len(head), 3, 11 + len(head) + size)]
+
+
 def test_secret_base_digest(spark):
     for r, t in zip(secrets.query(spark, DATA).orderBy("doc_id").collect(), spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()):
         assert r.base_sha256 == secrets.base_digest(t.text or "")
@@ -469,6 +573,62 @@ def test_base_spans_equal_python(spark):
     assert pii.personal_spans(documents(spark, [])).count() == 0
 
 
+def iban(rng):
+    body = "".join(rng.choice("0123456789") for _ in range(18))
+    return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+
+def planted_private(seed):
+    """Texts with planted spans of all kinds in varied contexts, and lookalikes: (texts, true spans, false spans), spans as (text, kind, start, end)."""
+    rng = random.Random(seed)
+    digits = lambda n, first="123456789": rng.choice(first) + "".join(rng.choice("0123456789") for _ in range(n - 1))
+    word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randrange(3, 9)))
+
+    def card():
+        body = "4" + digits(14)
+        return body + next(c for c in "0123456789" if luhn(body + c))
+
+    name = lambda: rng.choice(["Anna", "John", "Pierre", "Klaus", "Maria", "David", "Laura"]) + " " + word().capitalize()
+    real = {
+        "email": (["mail ", "write to ", "", "contact: "], lambda: f"{word()}.{word()}@{word()}.com"),
+        "ip": (["host ", "address ", "", "from "], lambda: ".".join(digits(2) for _ in range(4))),
+        "card": (["card ", "visa: ", "", "payment "], card),
+        "phone": (["phone ", "tel: ", "", "call "], lambda: f"+1 {digits(3, '23456789')} 555 {digits(4)}"),
+        "email_spelled": (["mail ", "contact: ", "", "write to "], lambda: f"{word()} [at] {word()} [dot] com"),
+        "phone_local": (["phone ", "call ", "tel. ", ""], lambda: f"({digits(3, '23456789')}) {digits(3, '23456789')}-{digits(4)}"),
+        "national_id": (["ssn ", "ssn: ", "", "account "], lambda: f"{digits(3, '12345')}-{digits(2)}-{digits(4)}"),
+        "iban": (["iban ", "account ", "iban: ", ""], lambda: iban(rng)),
+        "person": (["signed ", "name: ", "", "write to "], lambda: f"{rng.choice(['Mr', 'Mrs', 'Dr', 'Frau'])} {name()}"),
+    }
+    fake = {
+        "phone_local": (["order ", "invoice ", "part no "], lambda: f"{digits(3, '01')}-{digits(3, '01')}-{digits(4)}"),
+        "national_id": (["order ", "invoice ", "isbn "], lambda: f"000-{digits(2)}-0000"),
+        "iban": (["token ", "build ", "commit "], lambda: "XQ" + digits(18)),
+        "email_spelled": (["version ", "build "], lambda: f"{word()} (at) {word()} (dot) {digits(4)}"),
+    }
+    texts, true, false = [], [], []
+    for d in range(600):
+        text = ""
+        for kinds, out in ((real, true), (fake, false)):
+            for kind in rng.sample(sorted(kinds), rng.randrange(0, 3)):
+                text += " ".join(word() for _ in range(rng.randrange(2, 9))) + " " + rng.choice(kinds[kind][0])
+                x = kinds[kind][1]()
+                out.append((d, kind, len(text), len(text) + len(x)))
+                text += x + rng.choice([" ", ", ", "; "])
+        texts.append(text)
+    return texts, true, false
+
+
+def test_added_spans_are_found_and_lookalikes_left(spark):
+    texts, true, false = planted_private(3)
+    got = {r.doc_id: {(pii.KINDS[s.kind], s.start, s.end) for s in r.spans} for r in pii.personal_spans(documents(spark, texts)).collect()}
+    for kind in pii.KINDS:
+        planted = [(k, a, b) in got[d] for d, k, a, b in true if k == kind]
+        assert np.mean(planted) >= 0.9, kind
+    wrong = sum((k, a, b) in got[d] for d, k, a, b in false)
+    assert wrong <= 0.05 * len(false)
+
+
 def test_masked_text(spark):
     docs = documents(spark, ["write me@x.org, or +1 499 555 6503!", "none", None]).withColumnRenamed("extra", "spans")
     out = {r.doc_id: r.text for r in pii.masked(docs).collect()}
@@ -486,8 +646,55 @@ def test_reliabilities_recover_planted_labelers():
     assert ((p > 0.5) == truth).mean() > (best == truth).mean() - 0.01
 
 
+# All of them: clashing names, null and repeated ids, empty tables
+
+CLASH = "doc_id long, text string, h string, sha string, bit string, n string, norm string, id string, bucket string, size string, spans string, score string, bands string, set_key string, crcs string, hit_id string, item_id string, edits string"
+
+
+@pytest.mark.parametrize("name", ["quality", "language", "near", "exact", "decontamination", "secrets", "packing", "pii"])
+def test_clashing_columns_null_and_repeated_ids_and_empty_tables(spark, model, name):
+    rows = [(1, "the cat and the dog of the house with that thing"), (1, "the cat and the dog of the house with that thing"), (1, "another text for the same id"), (None, "a text without an id"), (None, None), (2, "")]
+    docs = spark.createDataFrame([(*r, *["x"] * 16) for r in rows], CLASH)
+    items = spark.createDataFrame([(5, "the cat and the dog of the house")], "item_id long, text string")
+    run = {
+        "quality": lambda d: quality.scored(d, quality.train([("good words in a row", 1), ("bad!! BAD!!", 0)])),
+        "language": lambda d: language.identified(d, model),
+        "near": lambda d: near_dedup.near_groups(d, 3, 85),
+        "exact": exact_dedup.exact_groups,
+        "decontamination": lambda d: decontaminate.contaminated(d, items),
+        "secrets": secrets.found_secrets,
+        "packing": packing.packed,
+        "pii": pii.personal_spans,
+    }[name]
+    out = run(docs).collect()
+    assert sorted((r.doc_id for r in out), key=str) == ([1, 1] if name == "decontamination" else sorted((r[0] for r in rows), key=str))
+    assert run(docs.limit(0)).count() == 0
+    if name in ("exact", "decontamination", "pii"):
+        keep = {"exact": exact_dedup.drop_copies, "decontamination": lambda d: decontaminate.clean(d, items), "pii": pii.masked}[name](docs)
+        assert keep.columns == docs.columns
+        assert keep.count() == {"exact": 4, "decontamination": 3, "pii": 6}[name]
+
+
 # The pipeline
 
+
+def test_pipeline_edges(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
+    odd = docs.withColumn("hit_id", F.lit("x")).withColumn("spans", F.lit(1))
+    odd = odd.unionByName(odd).unionByName(odd.withColumn("doc_id", F.lit(None).cast("long")))
+    for start in (odd, odd.limit(0)):
+        rows = start
+        for _, stage in cp.STAGES[:-1]:
+            rows = stage(spark, rows, DATA)
+            assert rows.columns == odd.columns
+            rows = spark.createDataFrame(rows.collect(), rows.schema)
+        ids = [r.doc_id for r in rows.collect()]
+        assert None not in ids and len(ids) == len(set(ids))
+        assert cp.into_sequences(spark, rows, DATA).select("doc_id").distinct().count() == len(ids)
+        assert start is odd or not ids
+
 def test_pipeline_keeps_what_each_stage_should(spark):
     import corpus_pipeline as cp
 
