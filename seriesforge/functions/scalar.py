@@ -45,3 +45,21 @@ def letterbox(width: Column, height: Column, target: int = 1024) -> dict[str, Co
 def display_scale(width: Column, height: Column, most_width: int = 1280, most_height: int = 720) -> Column:
     """The factor that fits a frame on a screen; never above 1."""
     return F.least(F.lit(1.0), F.lit(float(most_width)) / width, F.lit(float(most_height)) / height)
+
+
+def crop_window(x: Column, y: Column, r: Column, width: Column, height: Column, least: int = 20) -> Column:
+    """The square around a circle, kept inside the frame: struct of x0, y0, x1, y1; null if a side is under ``least`` pixels."""
+    x0, y0 = (clamp(c - r, 0, size).cast("int") for c, size in ((x, width), (y, height)))
+    x1, y1 = (clamp(c + r, 0, size).cast("int") for c, size in ((x, width), (y, height)))
+    window = F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    return F.when((x1 - x0 >= least) & (y1 - y0 >= least), window)
+
+
+def small_jump(distance: Column, radius: Column) -> Column:
+    """Whether a circle's centre moved no further than geometry allows: 70 pixels, or 0.85 of its radius if that is more."""
+    return distance <= F.greatest(F.lit(70.0), 0.85 * radius)
+
+
+def is_mask(logit: Column) -> Column:
+    """Whether a pixel with this logit belongs to the mask."""
+    return logit > 0

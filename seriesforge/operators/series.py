@@ -6,7 +6,7 @@ shuffle by that key serves a chain of them. Missing values are nulls, never NaN.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -147,20 +147,28 @@ def gradient(df: DataFrame, key: list[str], order: list[str], value: str, to: st
     return df.withColumn(to, F.coalesce((after - before) / 2, after - own, own - before))
 
 
+def with_totals(df: DataFrame, key: list[str], totals: dict[str, Column]) -> DataFrame:
+    """Adds aggregates over the key by a grouping, which combines per task, and a join: keys may hold any share of the rows."""
+    found = df.groupBy(*key).agg(*(c.alias(n) for n, c in totals.items()))
+    found = found.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(key)), *totals)
+    same = [df[k].eqNullSafe(found[f"_key{i}"]) for i, k in enumerate(key)]
+    return df.join(found, reduce(lambda x, y: x & y, same)).drop(*(f"_key{i}" for i in range(len(key))))
+
+
 def scaled_coords(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Each column to [0, 1] over the whole of its key; a constant column stays as it is."""
-    w = W.partitionBy(*key)
-    for c in columns:
-        low, high = F.min(c).over(w), F.max(c).over(w)
+    names = df.columns
+    df = with_totals(df, key, {f"_{f.__name__}{i}": f(c) for i, c in enumerate(columns) for f in (F.min, F.max)})
+    for i, c in enumerate(columns):
+        low, high = F.col(f"_min{i}"), F.col(f"_max{i}")
         df = df.withColumn(c, F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(F.col(c)))
-    return df
+    return df.select(*names)
 
 
 def scaled_intensity(df: DataFrame, key: list[str], value: str, to: str) -> DataFrame:
     """A value to [0, 1] over the whole of its key; a constant becomes 0."""
-    w = W.partitionBy(*key)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(to, F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.0)))
+    df = with_totals(df, key, {"_low": F.min(value), "_high": F.max(value)})
+    return df.withColumn(to, F.when(F.col("_high") > F.col("_low"), (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(F.lit(0.0))).drop("_low", "_high")
 
 
 def baseline_removed(df: DataFrame, key: list[str], order: list[str], value: str, to: str, rows: int = 5) -> DataFrame:
@@ -172,10 +180,20 @@ def baseline_removed(df: DataFrame, key: list[str], order: list[str], value: str
 
 def outlier_gate(df: DataFrame, key: list[str], columns: list[str], sigmas: float = 2.0) -> DataFrame:
     """Adds ``outlier``: some column lies more than so many population deviations from its mean."""
-    w, out = W.partitionBy(*key), F.lit(False)
-    for c in columns:
-        out = out | (F.abs(F.col(c) - F.avg(c).over(w)) > sigmas * F.stddev_pop(c).over(w))
-    return df.withColumn("outlier", F.coalesce(out, F.lit(False)))
+    names, out = df.columns, F.lit(False)
+    df = with_totals(df, key, {f"_{n}{i}": f(c) for i, c in enumerate(columns) for n, f in (("mean", F.avg), ("spread", F.stddev_pop))})
+    for i, c in enumerate(columns):
+        out = out | (F.abs(F.col(c) - F.col(f"_mean{i}")) > sigmas * F.col(f"_spread{i}"))
+    return df.select(*names, F.coalesce(out, F.lit(False)).alias("outlier"))
+
+
+def anchored(df: DataFrame, key: list[str], order: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Each curve moved so that its right-most end lies at the origin; of ends level with each other, the first."""
+    w = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first = F.first(x).over(w) >= F.last(x).over(w)
+    ends = {c: F.when(first, F.first(c).over(w)).otherwise(F.last(c).over(w)) for c in (x, y)}
+    moved = df.withColumn("_x", F.col(x) - ends[x]).withColumn("_y", F.col(y) - ends[y])
+    return moved.withColumn(x, F.col("_x")).withColumn(y, F.col("_y")).drop("_x", "_y")
 
 
 def head_tail_split(df: DataFrame, order: list[str], key: list[str] | None = None) -> DataFrame:

@@ -65,6 +65,22 @@ def require(df: DataFrame, columns: list[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def prefixed(df: DataFrame, keep: list[str], prefix: str) -> DataFrame:
+    """``keep`` and the columns named by the prefix and a number, in the order of their numbers."""
+    found = sorted((int(m[1]), c) for c in df.columns if (m := re.match(rf"{re.escape(prefix)}(\d+)$", c)))
+    return df.select(*keep, *(c for _, c in found))
+
+
+def coordinates(df: DataFrame, vector: str, points: int = 20) -> DataFrame:
+    """Adds ``xs`` and ``ys``: values 1 to n and n + 1 to 2n of a row whose first value is its frame."""
+    return df.withColumn("xs", F.slice(vector, 2, points)).withColumn("ys", F.slice(vector, points + 2, points))
+
+
+def common_view(name: Column) -> Column:
+    """The name that outputs use for a view or kind of recording."""
+    return F.when(name == "Top", "Topview").when(name.isin("LED", "Speckle"), "Fib").otherwise(name)
+
+
 def common_keys(tables: list[DataFrame], key: list[str]) -> DataFrame:
     """Keys that occur in every table."""
     return reduce(lambda a, b: a.intersect(b), [t.select(*key) for t in tables])

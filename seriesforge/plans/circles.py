@@ -10,14 +10,14 @@ from seriesforge.plans.common import r6, table
 
 
 def _circles(spark: SparkSession, d: str) -> DataFrame:
-    """Detections made of parts: 20 recordings."""
+    """Detections made of parts: a recording for every 100 of them, so recordings grow in number, not in size."""
     k = F.col("p_partkey")
     return table(spark, d, "part").select(
-        (k % 20).alias("g"), k.alias("ord"), (k * 37 % 200).cast("double").alias("x"), (k * 91 % 150).cast("double").alias("y"), (10 + F.col("p_size") % 30).cast("double").alias("r"), (F.floor(k / 20) % 12).alias("frame")
+        F.floor(k / 100).alias("g"), k.alias("ord"), (k * 37 % 200).cast("double").alias("x"), (k * 91 % 150).cast("double").alias("y"), (10 + F.col("p_size") % 30).cast("double").alias("r"), (k % 100 % 12).alias("frame")
     )
 
 
-CIRCLES = """c AS (SELECT p_partkey % 20 AS g, p_partkey AS ord, (p_partkey * 37 % 200)::DOUBLE AS x, (p_partkey * 91 % 150)::DOUBLE AS y, (10 + p_size % 30)::DOUBLE AS r, (p_partkey // 20) % 12 AS frame FROM part)"""
+CIRCLES = """c AS (SELECT p_partkey // 100 AS g, p_partkey AS ord, (p_partkey * 37 % 200)::DOUBLE AS x, (p_partkey * 91 % 150)::DOUBLE AS y, (10 + p_size % 30)::DOUBLE AS r, p_partkey % 100 % 12 AS frame FROM part)"""
 
 #: The first cluster whose mean is near takes the detection: one step for each detection of a recording.
 CLUSTERS = f"""{CIRCLES},

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.plans import circles, extras, prepare, rasters, series, tables
+from seriesforge.plans import circles, extras, files, prepare, rasters, series, tables
 
-MODULES = (series, tables, circles, rasters, prepare, extras)
+MODULES = (series, tables, circles, rasters, prepare, extras, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

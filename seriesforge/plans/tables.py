@@ -141,13 +141,13 @@ SELECT name, n_rows, n_nulls, n_common, n_nulls = 0 AND n_common > 60 AS passed
 
 def concat_recordings(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), "value", "event_type")
-    parts = [e.where(F.col("event_type") == k).drop("event_type" if k == "view" else "user_id") for k in ("view", "click", "purchase")]
+    parts = [e.where(F.col("event_type") == k).drop("event_type" if k == "view" else "user_id") for k in ("view", "click", "purchase", "error", "signup")]
     return t.concatenated(parts).select("recording_ord", "event_id", "user_id", "value", "event_type")
 
 
 CONCAT_RECORDINGS = """
-SELECT CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS recording_ord, event_id, CASE WHEN event_type = 'view' THEN user_id::VARCHAR END AS user_id, value,
-  CASE WHEN event_type <> 'view' THEN event_type END AS event_type FROM events WHERE event_type IN ('view', 'click', 'purchase')
+SELECT CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 4 END AS recording_ord, event_id, CASE WHEN event_type = 'view' THEN user_id::VARCHAR END AS user_id, value,
+  CASE WHEN event_type <> 'view' THEN event_type END AS event_type FROM events
 """
 
 

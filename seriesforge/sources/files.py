@@ -83,3 +83,17 @@ def first_existing(wanted: DataFrame, existing: DataFrame, key: list[str], name:
     """Per key, the existing candidate of the first priority."""
     found = wanted.join(existing.select(name).distinct(), name, "left_semi")
     return found.groupBy(*key).agg(F.min_by(name, priority).alias(name), F.min(priority).alias(priority))
+
+
+def resolved(wanted: DataFrame, existing: DataFrame, key: list[str], name: str = "name") -> DataFrame:
+    """Per key, the existing file that its name means: itself, with .mp4, with LED or Fib and .mp4, else one of the same stem in any case.
+
+    Ties go to the first name. Returns key, name, priority (0 to 4).
+    """
+    there = existing.select(F.col(name).alias("_file")).distinct()
+    asked = wanted.select(*key, F.posexplode(F.array(*(F.concat(name, F.lit(end)) for end in ("", ".mp4", " LED.mp4", " Fib.mp4")))).alias("priority", "_file"))
+    direct = asked.join(there, "_file")
+    stems = there.select("_file", F.lower(F.regexp_replace("_file", r"\.[^.]+$", "")).alias("_stem"))
+    alike = wanted.select(*key, F.lower(name).alias("_stem")).join(stems, "_stem").select(*key, F.lit(4).alias("priority"), "_file")
+    best = direct.select(*key, "priority", "_file").unionByName(alike).groupBy(*key).agg(F.min(F.struct("priority", "_file")).alias("_best"))
+    return best.select(*key, F.col("_best._file").alias(name), F.col("_best.priority").alias("priority"))
