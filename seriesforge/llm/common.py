@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions.staging import staged  # noqa: F401 - used by the operators beside this module
 
+#: A key that holds at least this part of all rows is hot; there are at most as many of them as this number says.
+HOT_PART = 2_000
+#: Keys of fewer rows are never hot.
+HOT_ROWS = 1_000
 #: Bytes of text that a Python worker handles at once, whatever the Arrow batch holds.
 SLICE_BYTES = 4 << 20
 
@@ -89,3 +93,14 @@ def sampled(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     share = min(1.0, 3 * rows / max(df.count(), 1))
     part = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
     return part.orderBy(F.xxhash64(F.lit("order"), key), key).limit(rows)
+
+
+def looked_up(rows: DataFrame, per_key: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a staged table of one row for each key, whose ``count`` says how many rows hold it.
+
+    Hot keys, of a bounded number, are broadcast, so no task reads all rows of one; other keys are small against a task.
+    """
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) >= max(HOT_ROWS, total // HOT_PART)
+    hot, others = F.broadcast(per_key.where(is_hot)), per_key.where(~is_hot)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(others, key, how))
