@@ -14,12 +14,15 @@ several components are finished exactly: their documents are joined on the
 rarest shingles of their sets (of two sets at the threshold, these prefixes
 must meet), which skips passages that many documents share. Links are
 confirmed on the full sets. No bucket, group, link or component list is
-collected, in a task or on the driver.
+collected, in a task or on the driver. Hot keys (a very common shingle, bucket
+or set) are split: their one row is broadcast, their number being bounded, and
+the partners of one document are dealt to parts.
 
 Defined results: a null text counts as empty; a document without words is its
 own group; a row without id stands in no link, but is dropped if its set is
-that of another row; repeated rows with one id are in one group; an empty table gives an empty result; further
-columns are ignored.
+that of another row; repeated rows with one id are one document, which each of
+its texts may link; an empty table gives an empty result; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import map_rows, mixed, shingle_hashes, staged, table, texts_of, word_hashes
+from seriesforge.llm.common import looked_up, map_rows, mixed, shingle_hashes, staged, table, texts_of, word_hashes
 from seriesforge.operators.graph import components
 
 #: Slots to a band.
@@ -42,6 +45,8 @@ MISS = 1e-7
 #: Shingles handled at once in a task.
 AT_ONCE = 120_000
 RANK = np.uint64(48)
+#: Partners of one document that are compared with it in one group.
+PARTNERS = 500
 
 
 def bands_for(percent: int, rows: int = ROWS) -> int:
@@ -102,19 +107,18 @@ def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(x, words) for x in texts_of(b["text"])]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        found: list[np.ndarray | None] = [None] * len(sets)
-        start = 0
-        while start < len(sets):
-            end, n = start, 0
-            while end < len(sets) and (end == start or n + len(sets[end]) <= AT_ONCE):
-                n += len(sets[end])
-                end += 1
-            sizes = [len(s) for s in sets[start:end]]
-            if n:
-                sig = super_min_hash(np.concatenate(sets[start:end]), np.repeat(np.arange(end - start), sizes), end - start, bands * ROWS)
-                for i, row in enumerate(band_keys(sig, bands, ROWS)):
-                    found[start + i] = row if sizes[i] else None
-            start = end
+        best = np.full((len(sets), bands * ROWS), np.iinfo(np.uint64).max, np.uint64)
+        # Long sets are cut: the slots of a set are the smallest of its parts'.
+        parts = [(k, s[i : i + AT_ONCE]) for k, s in enumerate(sets) for i in range(0, len(s), AT_ONCE)]
+        while parts:
+            now, n = [], 0
+            while parts and (not now or n + len(parts[-1][1]) <= AT_ONCE):
+                now.append(parts.pop())
+                n += len(now[-1][1])
+            sig = super_min_hash(np.concatenate([x for _, x in now]), np.repeat(np.arange(len(now)), [len(x) for _, x in now]), len(now), bands * ROWS)
+            for (k, _), row in zip(now, sig, strict=True):
+                np.minimum(best[k], row, out=best[k])
+        found = [row if len(s) else None for s, row in zip(sets, band_keys(best, bands, ROWS), strict=True)]
         return pa.RecordBatch.from_arrays(
             [b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
             ["doc_id", "n_shingles", "set_key", "bands"],
@@ -144,8 +148,12 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep.append(100 * n >= percent * (len(p) + len(q) - n))
         return b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    joined = joined.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    # The partners of one document are dealt to parts, and its set with them.
+    parts = staged(pairs.groupBy("a").agg(F.count("*").alias("pairs")).withColumn("parts", F.ceil(F.col("pairs") / PARTNERS)))
+    joined = looked_up(pairs, parts, "a", "pairs").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "b", "part")
+    joined = joined.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    held = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")).join(parts, "a")
+    joined = joined.join(held.select("a", "set_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), ["a", "part"])
     return map_rows(joined.select("a", "b", "set_a", "set_b"), "set_b", batch, "a long, b long")
 
 
@@ -157,8 +165,8 @@ def _fits(x: str, y: str, percent: int) -> F.Column:
 def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Per bucket, its most central document with each other one outside its component."""
     weight = rows.groupBy("id").agg(F.sum("size").alias("weight"))
-    hubs = rows.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n", "component")).alias("hub"))
-    pairs = rows.join(hubs, "bucket").where("component != hub.component")
+    hubs = rows.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n", "component")).alias("hub"), F.count("*").alias("rows"))
+    pairs = looked_up(rows, staged(hubs), "bucket", "rows").where("component != hub.component")
     pairs = pairs.select("id", "n", (-F.col("hub.minus")).alias("hub_id"), F.col("hub.n").alias("hub_n"))
     return pairs.where(_fits("n", "hub_n", percent)).select(F.col("hub_id").alias("a"), F.col("id").alias("b")).distinct()
 
@@ -181,15 +189,15 @@ def prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     here = rows.select("id", "component", "n").distinct()
     held = map_rows(sets.join(here, "id").select("id", "component", "set"), "set", explode, "id long, component long, shingle long")
     often = held.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("p"), F.max("component").alias("q")).where("p != q")
-    shared = held.join(often.select("shingle", "often"), "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
+    shared = looked_up(held, staged(often.select("shingle", "often")), "shingle", "often").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     first = shared.join(here, "id").select("id", "component", "n", alone.alias("alone"), F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int")).alias("shared"))
     first = first.select("id", "component", "n", "alone", F.posexplode("shared").alias("at", "x"))
     # ``left``: the most that this set can share from here on.
     first = staged(first.select("id", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), "x.shingle"))
-    several = first.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("shingle")
-    first = first.join(several, "shingle")
+    several = first.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows")).where("p != q")
+    first = staged(looked_up(first, staged(several.select("shingle", "rows")), "shingle", "rows"))
     other = first.select("shingle", F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
     enough = (100 + percent) * F.least("left", "left_b") >= percent * (F.col("n") + F.col("n_b"))
     pairs = first.join(other, (first["shingle"] == other["shingle"]) & (F.col("component") < F.col("component_b")) & enough)
@@ -201,19 +209,19 @@ def mixed_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is not None:
         rows = rows.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = rows.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("size")).where("p != q")
-    return rows.drop("size").join(several.select("bucket", "size"), "bucket").select("bucket", "id", "n", "component", "size")
+    return looked_up(rows.drop("size"), staged(several.select("bucket", "size")), "bucket", "size").select("bucket", "id", "n", "component", "size")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
     signatures = staged(signed(docs, words, percent))
-    classes = signatures.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"))
+    classes = signatures.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"), F.count("*").alias("rows"))
     rows = classes.select(F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), F.explode("x.bands").alias("bucket"))
     rows = staged(mixed_rows(rows.withColumn("component", F.col("id")), None))
     labels = None
     if not rows.isEmpty():
         ids = rows.select("id").distinct()
-        sets = staged(set_table(docs, ids, words).dropDuplicates(["id"]))
+        sets = staged(set_table(docs, ids, words).distinct())
         links = staged(linked(star_pairs(rows, percent), sets, percent))
         labels = components(links)
         rest = staged(mixed_rows(rows, labels))
@@ -221,10 +229,12 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
             more = staged(linked(prefix_pairs(rest, sets, percent), sets, percent))
             if not more.isEmpty():
                 labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    named = classes.select("set_key", F.col("x.doc_id").alias("id"))
+    named = classes.select("set_key", F.col("x.doc_id").alias("id"), "rows")
     if labels is not None:
         named = named.join(labels, "id", "left").withColumn("id", F.coalesce("component", "id"))
-    out = signatures.select("doc_id", "n_shingles", "set_key").join(named.select("set_key", F.col("id").alias("component_id")), "set_key", "left")
+    named = staged(named.select("set_key", F.col("id").alias("component_id"), "rows"))
+    out = signatures.select("doc_id", "n_shingles", "set_key")
+    out = looked_up(out.where("set_key is not null"), named, "set_key", "rows", "left").drop("rows").unionByName(out.where("set_key is null").withColumn("component_id", F.lit(None).cast("long")))
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
