@@ -49,7 +49,7 @@ GAP = 5e-4
 MOST_ROUNDS = 30
 MOST_COLUMNS = 2_500
 #: Parts of words that a worker remembers, those met last.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 150_000
 #: Bytes of text tokenised at once in a task.
 TEXT_BYTES = 8 << 20
 #: Small letters that no normaliser changes, and ASCII marks but the apostrophe.
