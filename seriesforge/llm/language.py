@@ -36,7 +36,7 @@ RATE = 0.2
 #: Words in a padded block of forward-backward.
 BLOCK_WORDS = 150_000
 #: Bytes of text at once in a task; features and scores take some fifty times as much.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 UNKNOWN = "und"
 
 
