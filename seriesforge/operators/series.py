@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from seriesforge.functions.ranking import positioned
 from seriesforge.functions.scalar import odd_window
 
 
@@ -198,9 +199,9 @@ def anchored(df: DataFrame, key: list[str], order: list[str], x: str = "x", y: s
 
 def head_tail_split(df: DataFrame, order: list[str], key: list[str] | None = None) -> DataFrame:
     """Adds ``split``: the first eight tenths train, the rest from 8.25 tenths on tests, between them neither."""
-    keys = key or []
-    w = W.partitionBy(*keys).orderBy(*order)
-    n, i = F.count("*").over(W.partitionBy(*keys)), F.row_number().over(w) - 1
-    tenth = F.floor(n / 10)
-    rows = df.withColumn("_i", i).withColumn("_train", tenth * 8).withColumn("_test", F.floor(n / 10 * 8.25))
-    return rows.withColumn("split", F.when(F.col("_i") < F.col("_train"), "train").when(F.col("_i") >= F.col("_test"), "test")).drop("_i", "_train", "_test")
+    if key:
+        rows = df.withColumn("_i", F.row_number().over(W.partitionBy(*key).orderBy(*order)) - 1).withColumn("_n", F.count("*").over(W.partitionBy(*key)))
+    else:
+        rows = positioned(df, order, "_i", "_n")
+    train, test = F.floor(F.col("_n") / 10) * 8, F.floor(F.col("_n") / 10 * 8.25)
+    return rows.withColumn("split", F.when(F.col("_i") < train, "train").when(F.col("_i") >= test, "test")).drop("_i", "_n")

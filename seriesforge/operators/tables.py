@@ -38,7 +38,7 @@ def intensity_names(columns: list[str]) -> list[str]:
 
 
 def with_natural_order(df: DataFrame, name: str) -> DataFrame:
-    """Column names as rows: adds circle, point and ``rank`` in natural order; other names go last."""
+    """Column names as rows: adds circle and point, whose order is the natural one; other names go last."""
     circle, point = (F.regexp_extract(name, INTENSITY_COLUMN, i) for i in (1, 2))
     out = df.withColumn("circle", F.when(F.length(circle) > 0, circle.cast("long")).otherwise(F.lit(10**9)))
     out = out.withColumn("point", F.when(F.length(point) > 0, point.cast("long")).when(F.length(circle) > 0, F.lit(0)).otherwise(F.lit(10**9)))
@@ -108,7 +108,7 @@ def verified(tables: dict[str, DataFrame], key: list[str], values: dict[str, lis
         for n, t in tables.items()
     ]
     common = common_keys(list(tables.values()), key).agg(F.count("*").alias("n_common"))
-    out = reduce(lambda a, b: a.unionByName(b), counts).crossJoin(common)
+    out = reduce(lambda a, b: a.unionByName(b), counts).withColumn("n_common", common.scalar())
     return out.withColumn("passed", (F.col("n_nulls") == 0) & (F.col("n_common") > least))
 
 

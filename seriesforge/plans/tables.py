@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesforge.functions.ranking import positioned
 from seriesforge.functions.scalar import finite_int, letterbox, radius_bounds
 from seriesforge.operators import tables as t
 from seriesforge.plans.common import r6, table
@@ -42,14 +43,13 @@ SELECT event_id, trunc(try_cast(x AS DOUBLE))::BIGINT AS frame_id FROM b WHERE t
 
 def natural_column_order(spark: SparkSession, d: str) -> DataFrame:
     """Names of columns, as rows, in their natural order."""
-    from pyspark.sql import Window as W
-
     i = F.col("p_partkey")
     name = F.when(i % 5 == 0, F.concat(F.lit("intensity_circle_"), i % 40)).when(i % 5 == 4, F.concat(F.lit("circle_"), i, F.lit("_radius"))).otherwise(
         F.concat(F.lit("intensity_circle_"), i % 40, F.lit("_9pt_"), i % 9 + 1)
     )
     names = t.with_natural_order(table(spark, d, "part").select(name.alias("name")).distinct(), "name")
-    return names.select("name", "circle", "point", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("circle", "point", "name")).cast("long").alias("rank"))
+    ranked = positioned(names, ["circle", "point", "name"], "rank")
+    return ranked.select("name", "circle", "point", (F.col("rank") + 1).alias("rank"))
 
 
 NATURAL_COLUMN_ORDER = r"""
@@ -271,14 +271,15 @@ SELECT DISTINCT CASE WHEN contains(stem, '__') THEN split_part(stem, '__', 1) EL
 def first_existing_source(spark: SparkSession, d: str) -> DataFrame:
     """For each recording, the first of Fib, LED, Speckle files that exists."""
     there = _paths(spark, d).select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    wanted = spark.range(50).select(F.concat(F.lit("rec "), "id").alias("recording"), F.posexplode(F.array(*map(F.lit, ("Fib", "LED", "Speckle")))).alias("priority", "kind"))
+    recordings = table(spark, d, "pages").select(F.concat(F.lit("rec "), F.col("page_id") % 60).alias("recording")).distinct()
+    wanted = recordings.select("recording", F.posexplode(F.array(*map(F.lit, ("Fib", "LED", "Speckle")))).alias("priority", "kind"))
     wanted = wanted.select("recording", "priority", F.concat("recording", F.lit(" "), "kind", F.lit(".mp4")).alias("name"))
     return files.first_existing(wanted, there, ["recording"])
 
 
 FIRST_EXISTING_SOURCE = rf"""
 WITH {_PATHS_SQL},
-w AS (SELECT 'rec ' || i AS recording, k AS priority, 'rec ' || i || ' ' || ['Fib', 'LED', 'Speckle'][k + 1] || '.mp4' AS name FROM range(50) a(i), (VALUES (0), (1), (2)) b(k)),
+w AS (SELECT 'rec ' || i AS recording, k AS priority, 'rec ' || i || ' ' || ['Fib', 'LED', 'Speckle'][k + 1] || '.mp4' AS name FROM (SELECT DISTINCT page_id % 60 AS i FROM pages), (VALUES (0), (1), (2)) b(k)),
 e AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY priority) AS r FROM w WHERE name IN (SELECT regexp_extract(path, '([^/]+)$', 1) FROM p))
 SELECT recording, name, priority FROM e WHERE r = 1
 """

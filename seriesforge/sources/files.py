@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
+
+from seriesforge.functions.ranking import positioned
 
 #: One row a frame: length in pixels, mean thickness, curve as text.
 SPINE_SCHEMA = T.StructType(
@@ -66,8 +67,7 @@ def segmentation_videos(files: DataFrame, path: str = "path", size: str = "size"
     """Files that a segmentation run takes, with ``rank``: smallest first, then by path."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     found = files.where(F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*VIDEO_EXTENSIONS) & ~_any(name, SEGMENTATION_EXCLUDED))
-    low = F.lower(F.col(path))
-    return found.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(size, low, path)))
+    return positioned(found, [size, F.lower(F.col(path)), path], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def segmented_sources(files: DataFrame, path: str = "path") -> DataFrame:
