@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,43 +73,45 @@ def large_components(pixels: DataFrame, frame: str, least: int) -> DataFrame:
     return named.groupBy(frame, "component").agg(F.count("*").alias("area")).where(F.col("area") >= least)
 
 
-def _levels(edges: DataFrame, start: DataFrame, frame: str) -> DataFrame:
-    """Distance of every reachable pixel from its frame's start, all frames at once."""
-    seen = staged(start.select(frame, "id", F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")))
-    level = 0
+def _farthest(start: int, around: dict[int, list[int]]) -> tuple[int, dict[int, int | None]]:
+    """The pixel farthest from ``start``, of equals the least, and every reached pixel's parent, the least of those one step nearer."""
+    parent, front = {start: None}, [start]
     while True:
-        front = seen.where(F.col("level") == level).select(frame, F.col("id").alias("a"))
-        reached = front.join(edges, [frame, "a"]).groupBy(frame, "b").agg(F.min("a").alias("parent"))
-        fresh = reached.select(frame, F.col("b").alias("id"), F.lit(level + 1).alias("level"), "parent").join(seen.select(frame, "id"), [frame, "id"], "left_anti")
-        grown = staged(seen.unionByName(fresh))
-        level += 1
-        if grown.where(F.col("level") == level).isEmpty():
-            return seen
-        seen = grown
+        fresh: dict[int, int | None] = {}
+        for a in sorted(front):
+            for b in around[a]:
+                if b not in parent:
+                    fresh.setdefault(b, a)
+        if not fresh:
+            return min(front), parent
+        parent |= fresh
+        front = list(fresh)
 
 
 def longest_path(pixels: DataFrame, frame: str) -> DataFrame:
     """Pixels of the longest route through each frame's tree of pixels: frame, step, id.
 
     The farthest pixel from some end, then the farthest from that one, and the
-    way between; the least pixel id breaks ties. Frames advance together, one
-    level of all of them a round.
+    way between; the least pixel id breaks ties. Frames are grouped as such: one
+    holds no more pixels than its raster, however many frames there are.
     """
-    pairs = neighbours(pixels, [frame])
-    edges = staged(pairs.select(frame, pixel_id(F.col("px"), F.col("py"), F.col(frame)).alias("a"), pixel_id(F.col("qx"), F.col("qy"), F.col(frame)).alias("b")))
-    ids = pixels.select(frame, pixel_id(F.col("px"), F.col("py"), F.col(frame)).alias("id"))
-    degree = edges.groupBy(frame, F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    first = ids.join(degree, [frame, "id"], "left").groupBy(frame).agg(F.coalesce(F.min(F.when(F.col("n") == 1, F.col("id"))), F.min("id")).alias("id"))
-    farthest = lambda seen: seen.groupBy(frame).agg(F.min_by("id", F.struct(-F.col("level"), F.col("id"))).alias("id"))
-    seen = _levels(edges, farthest(_levels(edges, first, frame)), frame)
-    # Back from the far end, parent by parent; rounds are as many as the path is long.
-    at = farthest(seen).join(seen, [frame, "id"])
-    path = at.select(frame, F.col("level").alias("step"), "id", "parent")
-    while True:
-        at = staged(at.select(frame, F.col("parent").alias("id")).where("id is not null").join(seen, [frame, "id"]))
-        if at.isEmpty():
-            return path.select(frame, "step", "id")
-        path = path.unionByName(at.select(frame, F.col("level").alias("step"), "id", "parent"))
+    own = pixels.select(F.col(frame).cast("long").alias("frame"), F.col("px").cast("long"), F.col("py").cast("long")).dropna()
+
+    def routes(rows: pd.DataFrame) -> pd.DataFrame:
+        f = int(rows["frame"].iloc[0])
+        places = set(zip(rows["px"].tolist(), rows["py"].tolist()))
+        number = {(x, y): (f << 40) + (y << 20) + x for x, y in places}
+        around = {n: [number[x + i, y + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (x + i, y + j) in number] for (x, y), n in number.items()}
+        ends = [n for n, near in around.items() if len(near) == 1]
+        start, _ = _farthest(min(ends or around), around)
+        at, parent = _farthest(start, around)
+        path = [at]
+        while (at := parent[at]) is not None:
+            path.append(at)
+        return pd.DataFrame({"frame": f, "step": range(len(path) - 1, -1, -1), "id": path})
+
+    out = own.groupBy("frame").applyInPandas(routes, "frame long, step int, id long")
+    return out.select(F.col("frame").alias(frame), "step", "id")
 
 
 def greedy_independent(vertices: DataFrame, conflicts: DataFrame) -> DataFrame:

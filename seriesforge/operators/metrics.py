@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesforge.functions.ranking import positioned
+from seriesforge.operators.graph import greedy_independent
+
 
 def regression_metrics(df: DataFrame, group: str) -> DataFrame:
     """One row: R2 (mean over outputs), MAE (over all), RMSE (root of the mean over outputs of MSE).
@@ -49,23 +52,37 @@ def shape_error(a: F.Column, b: F.Column) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
-def unique_in_order(df: DataFrame, key: list[str], order: str, vector: str, least: float) -> DataFrame:
-    """Rows whose vector lies more than ``least`` from every kept earlier one of their recording."""
-    item = F.struct(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"))
-    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("d"))
-    start = F.filter("d", lambda s: F.lit(False))
-    fold = lambda acc, d: F.when(F.exists(acc, lambda k: shape_error(k["v"], d["v"]) <= least), acc).otherwise(F.concat(acc, F.array(d)))
-    return rows.select(*key, F.explode(F.aggregate("d", start, fold)).alias("c")).select(*key, F.col("c.o").alias(order))
+def near_shapes(df: DataFrame, order: str, vector: str, most: float, key: list[str] | None = None) -> DataFrame:
+    """(a, b) with a < b: vectors of one key at most ``most`` apart.
 
+    Two vectors' means, and their distances from a third vector, differ by no
+    more than the two are apart. So vectors meet only in cells of that width of
+    the mean and of the distance from a pivot (the first vector of all), their
+    own or those beside it, and a second pivot (the vector farthest from the
+    first) rules out pairs before they are compared.
+    """
+    keys = key or []
+    v = F.col(vector).cast("array<double>")
+    rows = df.select(*keys, F.col(order).cast("long").alias("_id"), v.alias("_v"), (F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)).alias("_m"))
+    first = rows.agg(F.min_by("_v", "_id").alias("v")).head()["v"]
+    if first is None:
+        return rows.select(F.col("_id").alias("a"), F.col("_id").alias("b")).where("false")
+    away = lambda pivot: shape_error(F.col("_v"), F.array(*map(F.lit, pivot)))
+    last = rows.agg(F.max_by("_v", F.struct(away(first), "_id")).alias("v")).head()["v"]
+    slack = most * (1 + 1e-9) + 1e-12  # sums round
+    rows = rows.withColumn("_q", away(last)).withColumn("_i", F.floor(F.col("_m") / slack)).withColumn("_j", F.floor(away(first) / slack))
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    left = rows.withColumn("_s", around).select(*keys, F.col("_id").alias("a"), F.col("_v").alias("_va"), F.col("_q").alias("_qa"), (F.col("_i") + F.col("_s.i")).alias("_i"), (F.col("_j") + F.col("_s.j")).alias("_j"))
+    right = rows.select(*keys, F.col("_id").alias("b"), F.col("_v").alias("_vb"), F.col("_q").alias("_qb"), "_i", "_j")
+    pairs = left.join(right, [*keys, "_i", "_j"]).where(F.col("a") < F.col("b")).where(F.abs(F.col("_qa") - F.col("_qb")) <= slack)
+    return pairs.where(shape_error(F.col("_va"), F.col("_vb")) <= most).select("a", "b")
 
-def near_shapes(df: DataFrame, order: str, vector: str, most: float) -> DataFrame:
-    """(a, b) with a < b: vectors at most ``most`` apart.
 
-    The difference of two vectors' means is no larger than their distance, so
-    vectors meet only in bands of that width, their own or the one beside it.
+def unique_in_order(df: DataFrame, key: list[str], order: str, vector: str, least: float) -> DataFrame:
+    """Rows whose vector lies more than ``least`` from every kept earlier one of their key: key, order.
+
+    Near pairs are found by ``near_shapes``; rounds over them decide all keys together.
     """
-    v = F.col(vector).cast("array<double>")
-    rows = df.select(F.col(order).cast("long").alias("id"), v.alias("v"), F.floor((F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)) / most).alias("band"))
-    left = rows.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
-    right = rows.select(F.col("id").alias("b"), F.col("v").alias("vb"), "band")
-    return left.join(right, "band").where("a < b").where(shape_error(F.col("va"), F.col("vb")) <= most).select("a", "b")
+    rows = positioned(df.select(*key, order, F.col(vector).cast("array<double>").alias("_vector")), [*key, order, "_vector"], "_position")
+    kept = greedy_independent(rows.select(F.col("_position").alias("id")), near_shapes(rows, "_position", "_vector", least, key))
+    return rows.join(kept.select(F.col("id").alias("_position")), "_position", "left_semi").select(*key, order)
