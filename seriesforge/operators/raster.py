@@ -35,22 +35,25 @@ def disc_means(pixels: DataFrame, circles: DataFrame, width: int, height: int) -
     return covered.join(pixels, ["px", "py"]).groupBy("frame", "circle").agg(F.avg("gray").alias("value"))
 
 
-def sample_points(circles: DataFrame, share: float = 0.6) -> DataFrame:
-    """The centre (point 1) and eight points of a ring (2 to 9) of every circle: circle, point, sx, sy."""
+def sample_points(circles: DataFrame, key: list[str] | None = None, share: float = 0.6) -> DataFrame:
+    """The centre (point 1) and eight points of a ring (2 to 9) of every circle: key (circle by default), point, sx, sy."""
+    key = key or ["circle"]
     ring = [F.struct(F.lit(1).alias("point"), F.col("x").alias("sx"), F.col("y").alias("sy"))]
     for i in range(8):
         angle = F.radians(F.lit(45.0 * i))
         ring.append(F.struct(F.lit(i + 2).alias("point"), (F.col("x") + share * F.col("r") * F.cos(angle)).alias("sx"), (F.col("y") + share * F.col("r") * F.sin(angle)).alias("sy")))
-    return circles.select("circle", F.explode(F.array(*ring)).alias("p")).select("circle", "p.point", "p.sx", "p.sy")
+    return circles.select(*key, F.explode(F.array(*ring)).alias("p")).select(*key, "p.point", "p.sx", "p.sy")
 
 
-def patch_means(pixels: DataFrame, frames: DataFrame, points: DataFrame, width: int, height: int, half: int = 2) -> DataFrame:
-    """Mean gray of the square around every sample point: frame, circle, point, value; 0 outside the frame."""
+def patch_means(pixels: DataFrame, points: DataFrame, width: int, height: int, half: int = 2) -> DataFrame:
+    """Mean gray of the square around every sample point of a frame: frame, circle, point, value; 0 outside the frame.
+
+    Points name their frame, as centres move with it, so pixels join by frame and place.
+    """
     x, y = half_even(F.round("sx", 9)), half_even(F.round("sy", 9))
     covered = window_rows(points, x, y, F.lit(half).cast("long"), width, height)
-    means = covered.join(pixels, ["px", "py"]).groupBy("frame", "circle", "point").agg(F.avg("gray").alias("value"))
-    every = points.select("circle", "point").join(F.broadcast(frames.select("frame").distinct()), how="cross")  # a frame list beside a handful of points
-    return every.join(means, ["frame", "circle", "point"], "left").select("frame", "circle", "point", F.coalesce("value", F.lit(0.0)).alias("value"))
+    held = covered.join(pixels, ["frame", "px", "py"], "left")
+    return held.groupBy("frame", "circle", "point").agg(F.coalesce(F.avg("gray"), F.lit(0.0)).alias("value"))
 
 
 def window_means(pixels: DataFrame, circles: DataFrame, width: int, height: int) -> DataFrame:
@@ -69,7 +72,10 @@ def pooled_mean(pixels: DataFrame, circles: DataFrame, width: int, height: int)
 
 
 def circle_evidence(pixels: DataFrame, circles: DataFrame, width: int, height: int, threshold: float = 8.0) -> DataFrame:
-    """How much each circle stands out: inner mean less ring mean, plus 40 times the share of clear edges."""
+    """How much each circle stands out in each frame: inner mean less ring mean, plus 40 times the share of clear edges; 0 where it holds no pixel.
+
+    Circles are the candidates of one recording, few enough for a list of their names.
+    """
     x, y, r = F.col("x"), F.col("y"), F.col("r")
     covered = window_rows(circles, F.floor(x), F.floor(y), F.ceil(r * 1.35) + 1, width, height)
     far = F.sqrt((F.col("px") - x) * (F.col("px") - x) + (F.col("py") - y) * (F.col("py") - y))
@@ -83,7 +89,9 @@ def circle_evidence(pixels: DataFrame, circles: DataFrame, width: int, height: i
     outer = pixels.select("frame", F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("gray").alias("outer_gray"))
     both = edges.join(pixels, ["px", "py"]).join(outer, ["frame", "qx", "qy"])
     share = both.groupBy("frame", "circle").agg(F.avg((F.col("gray") - F.col("outer_gray") > threshold).cast("int")).alias("share"))
-    out = level.join(share, ["frame", "circle"], "left")
+    names = circles.agg(F.collect_list("circle")).scalar()
+    every = pixels.select("frame").distinct().select("frame", F.explode(names).alias("circle"))
+    out = every.join(level, ["frame", "circle"], "left").join(share, ["frame", "circle"], "left")
     score = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.col("a") - F.col("b") + 40.0 * F.coalesce("share", F.lit(0.0)))
     return out.select("frame", "circle", score.alias("score"))
 

@@ -9,33 +9,34 @@ from seriesforge.operators import graph, metrics, raster
 from seriesforge.plans.circles import greedy
 from seriesforge.plans.common import r6, table
 
-WIDTH, HEIGHT = 96, 64
+WIDTH, HEIGHT = 80, 25
 
 
-def _pixels(spark: SparkSession) -> DataFrame:
-    """Three frames with dark sides and a bright disc, by formula."""
-    px, py, f = F.col("px"), F.col("py"), F.col("frame")
-    grid = spark.range(3 * WIDTH * HEIGHT).select(F.floor(F.col("id") / (WIDTH * HEIGHT)).alias("frame"), (F.col("id") % WIDTH).alias("px"), (F.floor(F.col("id") / WIDTH) % HEIGHT).alias("py"))
-    disc = F.when((px - 48) * (px - 48) + (py - 30) * (py - 30) <= 144, 80.0).otherwise(0.0)
-    return grid.withColumn("gray", F.when((px < 22) | (px >= 80 - f), 5.0).otherwise(40.0 + disc + (px * 7 + py * 13 + f * 5) % 17))
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Every order is a pixel, 2,000 of them a frame: gray by its price, with dark sides and a bright disc."""
+    k, px, py, f = F.col("o_orderkey"), F.col("px"), F.col("py"), F.col("frame")
+    grid = table(spark, d, "orders").select(F.floor(k / (WIDTH * HEIGHT)).alias("frame"), (k % WIDTH).alias("px"), (F.floor(k / WIDTH) % HEIGHT).alias("py"), F.floor("o_totalprice").alias("price"))
+    disc = F.when((px - 40) * (px - 40) + (py - 10) * (py - 10) <= 64, 80.0).otherwise(0.0)
+    return grid.select("frame", "px", "py", F.when((px < 22) | (px >= 70 - f * 5 % 20), 5.0).otherwise(40.0 + disc + F.col("price") % 17).alias("gray"))
 
 
+PLACES = ((0, 40.3, 10.2, 8.0), (1, 30.5, 4.5, 5.0), (2, 78.0, 24.0, 6.0), (3, 50.0, 12.0, 20.0))
 PIXELS = f"""
-pix AS (SELECT f AS frame, x AS px, y AS py, CASE WHEN x < 22 OR x >= 80 - f THEN 5.0::DOUBLE ELSE 40.0::DOUBLE + (CASE WHEN (x - 48) * (x - 48) + (y - 30) * (y - 30) <= 144 THEN 80 ELSE 0 END) + (x * 7 + y * 13 + f * 5) % 17 END AS gray
-  FROM range(3) a(f), range({WIDTH}) b(x), range({HEIGHT}) c(y)),
-ci(circle, x, y, r) AS (VALUES (0::BIGINT, 48.3::DOUBLE, 30.2::DOUBLE, 12.0::DOUBLE), (1, 30.5, 12.5, 6.0), (2, 94.0, 62.0, 8.0), (3, 60.0, 40.0, 40.0))"""
+px0 AS (SELECT o_orderkey // {WIDTH * HEIGHT} AS frame, o_orderkey % {WIDTH} AS px, o_orderkey // {WIDTH} % {HEIGHT} AS py, floor(o_totalprice)::BIGINT AS price FROM orders),
+pix AS (SELECT frame, px, py, CASE WHEN px < 22 OR px >= 70 - frame * 5 % 20 THEN 5.0::DOUBLE ELSE 40.0::DOUBLE + (CASE WHEN (px - 40) * (px - 40) + (py - 10) * (py - 10) <= 64 THEN 80 ELSE 0 END) + price % 17 END AS gray FROM px0),
+ci(circle, x, y, r) AS (SELECT c::BIGINT, x::DOUBLE, y::DOUBLE, r::DOUBLE FROM (VALUES {", ".join(map(str, PLACES))}) q(c, x, y, r))"""
 
 
 def _circles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, 48.3, 30.2, 12.0), (1, 30.5, 12.5, 6.0), (2, 94.0, 62.0, 8.0), (3, 60.0, 40.0, 40.0)], "circle long, x double, y double, r double")
+    return spark.createDataFrame(list(PLACES), "circle long, x double, y double, r double")
 
 
 def max_projection(spark: SparkSession, d: str) -> DataFrame:
-    return raster.max_projection(_pixels(spark))
+    return raster.max_projection(_pixels(spark, d))
 
 
 def disc_mean(spark: SparkSession, d: str) -> DataFrame:
-    return raster.disc_means(_pixels(spark), _circles(spark), WIDTH, HEIGHT).select("frame", "circle", *r6("value"))
+    return raster.disc_means(_pixels(spark, d), _circles(spark), WIDTH, HEIGHT).select("frame", "circle", *r6("value"))
 
 
 DISC_MEAN = f"""WITH {PIXELS} SELECT frame, circle, round(avg(gray), 6) AS value FROM pix, ci
@@ -43,19 +44,23 @@ WHERE pow(px - round_even(x, 0), 2) + pow(py - round_even(y, 0), 2) <= pow(round
 
 
 def patch_mean_9pt(spark: SparkSession, d: str) -> DataFrame:
-    p = _pixels(spark)
-    frames = spark.range(3).withColumnRenamed("id", "frame")
-    return raster.patch_means(p, frames, raster.sample_points(_circles(spark)), WIDTH, HEIGHT).select("frame", "circle", F.col("point").cast("long").alias("point"), *r6("value"))
+    """Circles that drift by half a pixel a frame, three frames long, then start again."""
+    p = _pixels(spark, d)
+    at = F.explode(F.array(*(F.struct(F.lit(c).cast("long").alias("circle"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(r).alias("r")) for c, x, y, r in PLACES)))
+    circles = p.select("frame").distinct().select("frame", at.alias("c")).select("frame", "c.circle", (F.col("c.x") + F.col("frame") % 3 * 0.5).alias("x"), "c.y", "c.r")
+    points = raster.sample_points(circles, ["frame", "circle"])
+    return raster.patch_means(p, points, WIDTH, HEIGHT).select("frame", "circle", F.col("point").cast("long").alias("point"), *r6("value"))
 
 
 PATCH_MEAN_9PT = f"""WITH {PIXELS},
-pt AS (SELECT circle, 1::BIGINT AS point, x AS sx, y AS sy FROM ci UNION ALL SELECT circle, k + 2, x + 0.6::DOUBLE * r * cos(radians(45.0::DOUBLE * k)), y + 0.6::DOUBLE * r * sin(radians(45.0::DOUBLE * k)) FROM ci, range(8) q(k)),
+fc AS (SELECT frame AS fr, circle, x + frame % 3 * 0.5::DOUBLE AS x, y, r FROM ci, (SELECT DISTINCT frame FROM pix)),
+pt AS (SELECT fr, circle, 1::BIGINT AS point, x AS sx, y AS sy FROM fc UNION ALL SELECT fr, circle, k + 2, x + 0.6::DOUBLE * r * cos(radians(45.0::DOUBLE * k)), y + 0.6::DOUBLE * r * sin(radians(45.0::DOUBLE * k)) FROM fc, range(8) q(k)),
 s AS (SELECT *, round_even(round(sx, 9), 0) AS ix, round_even(round(sy, 9), 0) AS iy FROM pt)
-SELECT fr AS frame, circle, point, round(coalesce(avg(gray), 0), 6) AS value FROM s CROSS JOIN range(3) z(fr) LEFT JOIN pix ON frame = fr AND px BETWEEN ix - 2 AND ix + 2 AND py BETWEEN iy - 2 AND iy + 2 GROUP BY ALL"""
+SELECT fr AS frame, circle, point, round(coalesce(avg(gray), 0), 6) AS value FROM s LEFT JOIN pix ON frame = fr AND px BETWEEN ix - 2 AND ix + 2 AND py BETWEEN iy - 2 AND iy + 2 GROUP BY ALL"""
 
 
 def window_mean(spark: SparkSession, d: str) -> DataFrame:
-    return raster.window_means(_pixels(spark), _circles(spark), WIDTH, HEIGHT).select("frame", "circle", *r6("value"))
+    return raster.window_means(_pixels(spark, d), _circles(spark), WIDTH, HEIGHT).select("frame", "circle", *r6("value"))
 
 
 WINDOW_MEAN = f"""WITH {PIXELS}, w AS (SELECT *, greatest(8, round_even(r * 0.25::DOUBLE, 0)) AS h, round_even(x, 0) AS ix, round_even(y, 0) AS iy FROM ci)
@@ -63,14 +68,14 @@ SELECT frame, circle, round(avg(gray), 6) AS value FROM pix, w WHERE px BETWEEN
 
 
 def pooled_mean(spark: SparkSession, d: str) -> DataFrame:
-    return raster.pooled_mean(_pixels(spark), _circles(spark), WIDTH, HEIGHT).select("frame", *r6("value"), "n")
+    return raster.pooled_mean(_pixels(spark, d), _circles(spark), WIDTH, HEIGHT).select("frame", *r6("value"), "n")
 
 
 POOLED_MEAN = f"WITH {PIXELS} SELECT frame, round(avg(gray), 6) AS value, count(*) AS n FROM pix, ci WHERE pow(px - x, 2) + pow(py - y, 2) < r * r GROUP BY frame"
 
 
 def circle_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return raster.circle_evidence(_pixels(spark), _circles(spark), WIDTH, HEIGHT).select("frame", "circle", *r6("score"))
+    return raster.circle_evidence(_pixels(spark, d), _circles(spark), WIDTH, HEIGHT).select("frame", "circle", *r6("score"))
 
 
 CIRCLE_EVIDENCE = f"""WITH {PIXELS},
@@ -84,7 +89,7 @@ SELECT lv.frame, lv.circle, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE a
 
 
 def black_bars(spark: SparkSession, d: str) -> DataFrame:
-    return raster.black_bars(_pixels(spark))
+    return raster.black_bars(_pixels(spark, d))
 
 
 BLACK_BARS = f"""WITH {PIXELS}, m AS (SELECT frame, px, avg(gray) AS g FROM pix GROUP BY 1, 2),
@@ -93,34 +98,36 @@ SELECT frame, CASE WHEN l < 20 THEN 0 ELSE l END AS "left", CASE WHEN r < 20 THE
 
 
 def mask_shape(spark: SparkSession, d: str) -> DataFrame:
-    p = _pixels(spark).where("frame < 2")
-    mask = p.where("gray > 100")
-    return raster.mask_shape(mask, mask.where("py = 30 and frame = 0")).select("frame", "area", "length", *r6("thickness"))
+    """Bright pixels as the mask, their middle row as the spine; every third frame has no spine."""
+    mask = _pixels(spark, d).where("gray > 100")
+    return raster.mask_shape(mask, mask.where("py = 10 and frame % 3 <> 2")).select("frame", "area", "length", *r6("thickness"))
 
 
-MASK_SHAPE = f"""WITH {PIXELS} SELECT frame, count(*) AS area, count(*) FILTER (WHERE py = 30 AND frame = 0) AS length,
-round(coalesce(count(*) / nullif(count(*) FILTER (WHERE py = 30 AND frame = 0), 0)::DOUBLE, 0), 6) AS thickness FROM pix WHERE frame < 2 AND gray > 100 GROUP BY frame"""
+MASK_SHAPE = f"""WITH {PIXELS}, m AS (SELECT frame, count(*) AS area, count(*) FILTER (WHERE py = 10 AND frame % 3 <> 2) AS length FROM pix WHERE gray > 100 GROUP BY frame)
+SELECT frame, area, length, round(coalesce(area / nullif(length, 0)::DOUBLE, 0), 6) AS thickness FROM m"""
 
 
 def unboxed(spark: SparkSession, d: str) -> DataFrame:
-    out = raster.unboxed(_pixels(spark).where("gray > 100").select("frame", "px", "py"), F.lit(0.5), F.lit(10), F.lit(4), F.lit(22))
+    out = raster.unboxed(_pixels(spark, d).where("gray > 100").select("frame", "px", "py"), F.lit(0.5), F.lit(10), F.lit(4), F.lit(22))
     return out.select("frame", "px", "py")
 
 
 UNBOXED = f"WITH {PIXELS} SELECT DISTINCT frame, floor((px - 10 + 0.5::DOUBLE) / 0.5::DOUBLE)::BIGINT + 22 AS px, floor((py - 4 + 0.5::DOUBLE) / 0.5::DOUBLE)::BIGINT AS py FROM pix WHERE gray > 100"
 
 
-def _speckles(spark: SparkSession) -> DataFrame:
-    """Six frames of scattered pixels."""
-    rows = spark.range(6 * 256).select(F.floor(F.col("id") / 256).alias("frame"), (F.col("id") % 16).alias("px"), (F.floor(F.col("id") / 16) % 16).alias("py"))
-    return rows.where((F.col("px") * 7 + F.col("py") * 11 + F.col("frame") * 3) * (F.col("px") + F.col("py") + 1) % 10 < 4)
+def _speckles(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of 16 x 16 places, an event each; those of two kinds are bright."""
+    i = F.col("event_id")
+    rows = table(spark, d, "events").where(F.col("event_type").isin("click", "view"))
+    return rows.select(F.floor(i / 256).alias("frame"), (i % 16).alias("px"), (F.floor(i / 16) % 16).alias("py"))
 
 
-SPECKLES = "sp AS (SELECT f AS frame, x AS px, y AS py, f * 1099511627776 + y * 1048576 + x AS id FROM range(6) a(f), range(16) b(x), range(16) c(y) WHERE (x * 7 + y * 11 + f * 3) * (x + y + 1) % 10 < 4)"
+SPECKLES = """sp AS (SELECT frame, px, py, frame * 1099511627776 + py * 1048576 + px AS id FROM
+  (SELECT event_id // 256 AS frame, event_id % 16 AS px, event_id // 16 % 16 AS py FROM events WHERE event_type IN ('click', 'view')))"""
 
 
 def components_area(spark: SparkSession, d: str) -> DataFrame:
-    return graph.large_components(_speckles(spark), "frame", 3)
+    return graph.large_components(_speckles(spark, d), "frame", 3)
 
 
 COMPONENTS_AREA = f"""WITH RECURSIVE {SPECKLES},
@@ -131,22 +138,24 @@ SELECT frame, component, count(*) AS area FROM sp JOIN l ON l.a = sp.id GROUP BY
 """
 
 
-def _trees(spark: SparkSession) -> DataFrame:
-    """Y-shaped trees of pixels, their right arm longer from frame to frame."""
-    frames = spark.range(3).select(F.col("id").alias("frame"))
-    trunk = frames.select("frame", F.lit(10).cast("long").alias("px"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("py"))
-    left = frames.select("frame", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("k")).select("frame", (10 - F.col("k")).alias("px"), (6 + F.col("k")).alias("py"))
-    right = frames.select("frame", F.explode(F.sequence(F.lit(1).cast("long"), 2 + 3 * F.col("frame"))).alias("k")).select("frame", (10 + F.col("k")).alias("px"), (6 + F.col("k")).alias("py"))
-    return trunk.unionByName(left).unionByName(right)
+def _trees(spark: SparkSession, d: str) -> DataFrame:
+    """A Y-shaped tree of pixels for every customer, its arms as long as the customer's nation says."""
+    at = lambda x, y: F.struct(x.alias("px"), y.alias("py"))
+    arm = lambda low, high, f: F.transform(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long") if isinstance(high, int) else high), f)
+    nation = F.col("c_nationkey").cast("long")
+    pixels = F.concat(
+        arm(0, 6, lambda k: at(F.lit(40).cast("long"), k)), arm(1, 1 + nation % 7, lambda k: at(40 - k, 6 + k)), arm(1, 2 + nation, lambda k: at(40 + k, 6 + k))
+    )
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("frame"), F.explode(pixels).alias("p")).select("frame", "p.px", "p.py")
 
 
 def longest_path(spark: SparkSession, d: str) -> DataFrame:
-    return graph.longest_path(_trees(spark), "frame").select("frame", F.col("step").cast("long").alias("step"), "id")
+    return graph.longest_path(_trees(spark, d), "frame").select("frame", F.col("step").cast("long").alias("step"), "id")
 
 
 LONGEST_PATH = """WITH RECURSIVE tr AS (
-  SELECT f AS frame, 10::BIGINT AS px, k AS py FROM range(3) a(f), range(7) b(k) UNION ALL SELECT f, 10 - k, 6 + k FROM range(3) a(f), range(1, 5) b(k)
-  UNION ALL SELECT f, 10 + k, 6 + k FROM range(3) a(f), range(1, 9) b(k) WHERE k <= 2 + 3 * f),
+  SELECT c_custkey AS frame, 40::BIGINT AS px, k AS py FROM customer, range(7) b(k) UNION ALL SELECT c_custkey, 40 - k, 6 + k FROM customer, range(1, 8) b(k) WHERE k <= 1 + c_nationkey % 7
+  UNION ALL SELECT c_custkey, 40 + k, 6 + k FROM customer, range(1, 27) b(k) WHERE k <= 2 + c_nationkey),
 n AS (SELECT frame, px, py, frame * 1099511627776 + py * 1048576 + px AS id FROM tr),
 e AS (SELECT a.frame, a.id AS a, b.id AS b FROM n a JOIN n b ON a.frame = b.frame AND a.id <> b.id AND abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1),
 s AS (SELECT frame, min(a) AS id FROM (SELECT frame, a FROM e GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1),

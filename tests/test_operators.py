@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesforge.operators import circles, graph, metrics, tables
+from seriesforge.functions.ranking import positioned
+from seriesforge.operators import circles, graph, metrics, raster, tables
 from seriesforge.sources import files
 from seriesforge.streaming import tracking
 
@@ -146,3 +147,50 @@ def test_windowed_stream_counts_late_rows(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("means").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r["mean"], r.n) for r in spark.table("means").collect()) == [(4.0, 1), (4.0, 2)]
+
+
+def test_near_shapes_and_unique_shapes_equal_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    vectors = np.concatenate([rng.normal(0, 1, (60, 4)), rng.normal(3, 0.2, (30, 4))]).round(2)
+    rows = [(i % 3, i // 3, i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "k int, frame long, id long, v array<double>")
+    error = lambda a, b: float(np.abs(vectors[a] - vectors[b]).mean())
+    pairs = {(a, b) for a in range(90) for b in range(a + 1, 90) if error(a, b) <= 0.7}
+    assert {tuple(r) for r in metrics.near_shapes(df, "id", "v", 0.7).collect()} == pairs
+    assert {tuple(r) for r in metrics.near_shapes(df, "id", "v", 0.7, ["k"]).collect()} == {(a, b) for a, b in pairs if a % 3 == b % 3}
+    kept = []
+    for a in range(90):
+        if not any((b, a) in pairs for b in kept if b % 3 == a % 3):
+            kept.append(a)
+    out = metrics.unique_in_order(df, ["k"], "frame", "v", 0.7)  # frames repeat from recording to recording
+    assert sorted((r.k, r.frame) for r in out.collect()) == sorted((a % 3, a // 3) for a in kept)
+    assert metrics.unique_in_order(df.limit(0), ["k"], "frame", "v", 0.7).count() == 0
+
+
+def test_positions_are_those_of_the_whole_order(spark):
+    rows = [((i * 37) % 101, str(i)) for i in range(101)] + [(50, "again")]
+    out = positioned(spark.createDataFrame(rows, "a int, b string").repartition(7), ["a", "b"], "at", "n").collect()
+    assert [(r.a, r.b) for r in sorted(out, key=lambda r: r.at)] == sorted(rows)
+    assert sorted(r.at for r in out) == list(range(102)) and {r.n for r in out} == {102}
+
+
+def test_longest_path_takes_the_longer_arm_and_single_pixels(spark):
+    tree = [(0, 5, y) for y in range(4)] + [(0, 4, 4), (0, 6, 4), (0, 7, 5)]
+    out = graph.longest_path(spark.createDataFrame([*tree, (1, 2, 2), (1, 2, 2)], "frame long, px long, py long"), "frame").collect()
+    number = lambda f, x, y: (f << 40) + (y << 20) + x
+    assert {r.id for r in out if r.frame == 0} == {number(0, *p) for p in [(7, 5), (6, 4), (5, 3), (5, 2), (5, 1), (5, 0)]}
+    assert [(r.step, r.id) for r in out if r.frame == 1] == [(0, number(1, 2, 2))]
+
+
+def test_evidence_of_circles_without_pixels_is_zero(spark):
+    pixels = spark.createDataFrame([(f, x, y, 50.0) for f in (0, 1) for x in range(12) for y in range(12)], "frame long, px long, py long, gray double")
+    places = spark.createDataFrame([(0, 6.0, 6.0, 3.0), (1, 90.0, 90.0, 3.0)], "circle long, x double, y double, r double")
+    out = {(r.frame, r.circle): r.score for r in raster.circle_evidence(pixels, places, 12, 12).collect()}
+    assert out == {(f, c): 0.0 for f in (0, 1) for c in (0, 1)}
+
+
+def test_patches_outside_the_frame_are_zero(spark):
+    pixels = spark.createDataFrame([(f, x, y, 10.0 * (f + 1)) for f in (0, 1) for x in range(9) for y in range(9)], "frame long, px long, py long, gray double")
+    centres = spark.createDataFrame([(0, 0, 4.0, 4.0, 2.0), (1, 0, 4.0, 4.0, 2.0), (1, 1, 60.0, 4.0, 2.0)], "frame long, circle long, x double, y double, r double")
+    out = {(r.frame, r.circle, r.point): r.value for r in raster.patch_means(pixels, raster.sample_points(centres, ["frame", "circle"]), 9, 9).collect()}
+    assert out == {(f, c, p): 0.0 if c else 10.0 * (f + 1) for f, c in ((0, 0), (1, 0), (1, 1)) for p in range(1, 10)}
