@@ -42,18 +42,12 @@ def features_scaled(spark: SparkSession, d: str) -> DataFrame:
     return s.scaled_coords(out, ["view"], ["x", "y"]).select("user_id", "point", *r6("x", "y"))
 
 
-def _resample_sql(n: int, clean: bool, scaled: bool = False) -> str:
+def resample_ctes(n: int, clean: bool) -> str:
+    """From ``poly`` (user_id, event_id, x, y) to ``o`` (user_id, point, x, y)."""
     turn = "CASE WHEN first_x < last_x THEN cnt - 1 - rk ELSE rk END" if clean else "rk"
     flat_s = "pos::DOUBLE" if clean else "NULL"
     out = "point" if clean else f"CASE WHEN max(CASE WHEN point = 0 THEN x END) OVER u < max(CASE WHEN point = {n - 1} THEN x END) OVER u THEN {n - 1} - point ELSE point END AS point"
-    final = f"""
-SELECT user_id, point, round(x, 6) AS x, round(y, 6) AS y FROM o""" if not scaled else """
-SELECT user_id, point,
-  round(CASE WHEN max(x) OVER v > min(x) OVER v THEN (x - min(x) OVER v) / (max(x) OVER v - min(x) OVER v) ELSE x END, 6) AS x,
-  round(CASE WHEN max(y) OVER v > min(y) OVER v THEN (y - min(y) OVER v) / (max(y) OVER v - min(y) OVER v) ELSE y END, 6) AS y
-FROM o WINDOW v AS (PARTITION BY user_id % 2)"""
     return f"""
-WITH {USER_POLYLINES},
 a AS (SELECT *, row_number() OVER w - 1 AS rk, count(*) OVER (PARTITION BY user_id) AS cnt,
         first_value(x) OVER w AS first_x, last_value(x) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_x
       FROM poly WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
@@ -67,9 +61,17 @@ h AS (SELECT user_id, point, x + (x1 - x) * ((CASE WHEN point = {n - 1} THEN who
              y + (y1 - y) * ((CASE WHEN point = {n - 1} THEN whole ELSE whole * point / {n - 1} END) - s0) / (s1 - s0) AS y
       FROM g, k WHERE s1 > s0 AND ((point < {n - 1} AND s0 <= whole * point / {n - 1} AND whole * point / {n - 1} < s1) OR (point = {n - 1} AND s1 = whole))
       UNION ALL SELECT user_id, point, x, y FROM g, k WHERE total <= 0 AND pos = 0 AND s0 IS NULL),
-o AS (SELECT user_id, {out}, x, y FROM h WINDOW u AS (PARTITION BY user_id))
-{final}
-"""
+o AS (SELECT user_id, {out}, x, y FROM h WINDOW u AS (PARTITION BY user_id))"""
+
+
+def _resample_sql(n: int, clean: bool, scaled: bool = False) -> str:
+    final = f"""
+SELECT user_id, point, round(x, 6) AS x, round(y, 6) AS y FROM o""" if not scaled else """
+SELECT user_id, point,
+  round(CASE WHEN max(x) OVER v > min(x) OVER v THEN (x - min(x) OVER v) / (max(x) OVER v - min(x) OVER v) ELSE x END, 6) AS x,
+  round(CASE WHEN max(y) OVER v > min(y) OVER v THEN (y - min(y) OVER v) / (max(y) OVER v - min(y) OVER v) ELSE y END, 6) AS y
+FROM o WINDOW v AS (PARTITION BY user_id % 2)"""
+    return f"WITH {USER_POLYLINES},{resample_ctes(n, clean)}\n{final}"
 
 
 def largest_gap_cluster(spark: SparkSession, d: str) -> DataFrame:
@@ -109,14 +111,14 @@ def _savgol(degree: int, least: int):
     return run
 
 
-def _weights_sql(degree: int, least: int) -> str:
+def weights_sql(degree: int, least: int) -> str:
     rows = [f"({k},{i},{j},{w!r}::DOUBLE)" for k in range(max(least, degree + 1) | 1, 32, 2) for i, r in enumerate(s.savgol_weights(k, degree)) for j, w in enumerate(r)]
     return ",".join(rows)
 
 
 def _savgol_ctes(degree: int, least: int) -> str:
     return f"""
-wt(w, i, j, c) AS (VALUES {_weights_sql(degree, least)}),
+wt(w, i, j, c) AS (VALUES {weights_sql(degree, least)}),
 a AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 b AS (SELECT *, least(31, n - (1 - n % 2)) AS w FROM a),
 c AS (SELECT *, greatest(0, least(i - w // 2, n - w)) AS st FROM b),
