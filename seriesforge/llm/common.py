@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.functions.staging import staged  # noqa: F401 - used by the operators beside this module
+from seriesforge.functions.staging import new_path, staged  # noqa: F401 - used by the operators beside this module
 
 #: A key that holds at least this part of all rows is hot; there are at most as many of them as this number says.
 HOT_PART = 2_000
@@ -115,3 +115,15 @@ def looked_up(rows: DataFrame, per_key: DataFrame, key: str, count: str, how: st
     is_hot = F.col(count) >= max(HOT_ROWS, total // HOT_PART)
     hot, others = F.broadcast(per_key.where(is_hot)), per_key.where(~is_hot)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(others, key, how))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read from there: smaller than a checkpoint, and columns are read alone."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def word_table(letters: bytes) -> bytes:
+    """A table for ``bytes.translate``: these ASCII letters, A-Z lower-cased, and all beyond ASCII stay; the rest becomes a space."""
+    return bytes(c + 32 if 65 <= c <= 90 and c in letters else c if c >= 128 or c in letters else 32 for c in range(256))
