@@ -1,15 +1,22 @@
 """Circles found in frames: clustering, selection, refinement, tracking.
 
-Order-dependent steps fold over the detections of one recording, which are
-bounded by its frames; recordings run side by side.
+Order-dependent steps read the detections of a recording as a sorted stream;
+what a task holds is the clusters, or the circles kept, of one recording, in
+cells of the plane, so a detection is compared with those around it alone.
+Recordings run side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from seriesforge.functions.plane import Apart, Leaders
+
 
 def stable_order(df: DataFrame, key: list[str], tie: list[str]) -> DataFrame:
     """Adds ``circle``: numbers by row, then column, of the truncated centre."""
@@ -17,47 +24,73 @@ def stable_order(df: DataFrame, key: list[str], tie: list[str]) -> DataFrame:
     return df.withColumn("circle", (F.row_number().over(w) - 1).cast("long"))
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
-
-
 def leader_clusters(df: DataFrame, key: list[str], order: str, centre: float = 18.0, radius: float = 14.0, seen: str = "frame") -> DataFrame:
     """Each detection joins the first cluster whose running mean is near enough, or founds one.
 
-    Returns key, cluster, x, y, r (means), n, support (distinct values of ``seen``).
+    Returns key, cluster, x, y, r (means), n, support (distinct values of ``seen``, nulls apart).
+    Detections without a centre or a radius are none. Recordings run side by side, each as a
+    sorted stream: a task holds the clusters of one recording, not its detections.
     """
-    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("r").cast("double").alias("r"), F.col(seen).cast("long").alias("f")))).alias("d"))
-    made = lambda n, x, y, r, f: F.struct(n.cast("long").alias("n"), x.alias("x"), y.alias("y"), r.alias("r"), f.alias("f"))
-    empty = F.array().cast("array<struct<n:bigint,x:double,y:double,r:double,f:array<bigint>>>")
-
-    def fold(acc: Column, d: Column) -> Column:
-        near = lambda c: (F.hypot(d["x"] - c["x"] / c["n"], d["y"] - c["y"] / c["n"]) <= centre) & (F.abs(d["r"] - c["r"] / c["n"]) <= radius)
-        at = F.array_position(F.transform(acc, near), True)
-        grown = F.transform(acc, lambda c, i: F.when(i + 1 == at, made(c["n"] + 1, c["x"] + d["x"], c["y"] + d["y"], c["r"] + d["r"], F.array_union(c["f"], F.array(d["f"])))).otherwise(c))
-        return F.when(at > 0, grown).otherwise(F.concat(acc, F.array(made(F.lit(1), d["x"], d["y"], d["r"], F.array(d["f"])))))
-
-    out = rows.select(*key, F.posexplode(F.aggregate("d", empty, fold)).alias("cluster", "c"))
-    mean = lambda n: (F.col(f"c.{n}") / F.col("c.n")).alias(n)
-    return out.select(*key, F.col("cluster").cast("long").alias("cluster"), mean("x"), mean("y"), mean("r"), F.col("c.n").alias("n"), F.size("c.f").cast("long").alias("support"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema if f.name in key}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "cluster long", "f long", "n long", "x double", "y double", "r double"])
+    rows = df.select(*key, F.col(order).alias("_o"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "r")), F.col(seen).cast("long").alias("f")).dropna(subset=["x", "y", "r"])
+    rows = rows.repartition(*key) if key else rows.coalesce(1)
+    rows = rows.sortWithinPartitions(*key, "_o", "x", "y", "r", "f")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of, name = Leaders(centre, radius), None, None
+        for part in parts:
+            owner = list(zip(*(part[k].to_pylist() for k in key))) if key else [()] * part.num_rows
+            joined = []
+            for i, (who, x, y, r) in enumerate(zip(owner, *(part[c].to_pylist() for c in ("x", "y", "r")))):
+                if name is None or who != name:
+                    if name is not None:
+                        yield held.rows(of, key)
+                    held, of, name = Leaders(centre, radius), part.slice(i, 1), who
+                joined.append(held.take(x, y, r))
+            none = [pa.nulls(part.num_rows, t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(part[k] for k in key), pa.array(joined, pa.int64()), part["f"], *none], [*key, "cluster", "f", "n", "x", "y", "r"])
+        if name is not None:
+            yield held.rows(of, key)
+
+    out = rows.mapInArrow(run, schema)
+    # A row for each detection, a row with the means for each cluster: frames are counted where they are grouped.
+    out = out.groupBy(*key, "cluster", "f").agg(*(F.max(c).alias(c) for c in ("n", "x", "y", "r")))
+    return out.groupBy(*key, "cluster").agg(*(F.max(c).alias(c) for c in ("x", "y", "r", "n")), F.count("f").alias("support"))
 
 
 def non_overlapping(df: DataFrame, key: list[str], rank: list[Column], factor: float) -> DataFrame:
     """In rank order, circles whose centre keeps ``factor`` times the smaller radius from all kept ones."""
-    return _greedy(df, key, rank, lambda a, b: _distance(a, b) < factor * F.least(a["r"], b["r"]))
+    return _greedy(df, key, rank, factor=factor)
 
 
 def separated(df: DataFrame, key: list[str], rank: list[Column], distance: str, most: str) -> DataFrame:
     """In rank order, circles at least ``distance`` (a column) from all kept ones, until ``most`` are kept."""
-    return _greedy(df, key, rank, lambda a, b: _distance(a, b) < b["gap"], gap=distance, most=most)
-
-
-def _greedy(df: DataFrame, key: list[str], rank: list[Column], conflict, gap: str | None = None, most: str | None = None) -> DataFrame:
-    item = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(rank)], F.col("cluster").alias("cluster"), F.col("x").alias("x"), F.col("y").alias("y"), F.col("r").alias("r"), (F.col(gap) if gap else F.lit(0.0)).alias("gap"))
-    rows = df.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("d"), F.first(F.col(most) if most else F.lit(2**31 - 1)).alias("most"))
-    rows = rows.withColumn("d", F.transform("d", lambda s: F.struct(s["cluster"].alias("cluster"), s["x"].alias("x"), s["y"].alias("y"), s["r"].alias("r"), s["gap"].alias("gap"))))
-    start = F.filter("d", lambda s: F.lit(False))
-    fold = lambda acc, d: F.when((F.size(acc) < F.col("most")) & ~F.exists(acc, lambda k: conflict(k, d)), F.concat(acc, F.array(d))).otherwise(acc)
-    return rows.select(*key, F.explode(F.aggregate("d", start, fold)).alias("c")).select(*key, "c.cluster", "c.x", "c.y", "c.r")
+    return _greedy(df, key, rank, gap=distance, most=most)
+
+
+def _greedy(df: DataFrame, key: list[str], rank: list[Column], factor: float | None = None, gap: str | None = None, most: str | None = None) -> DataFrame:
+    """A sorted stream for each key; a task holds the circles kept of one key, by place."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema if f.name in [*key, "cluster"]}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in [*key, "cluster"]), "x double", "y double", "r double"])
+    ranks = [c.alias(f"_k{i}") for i, c in enumerate(rank)]
+    rows = df.select(*key, *ranks, "cluster", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "r")), (F.col(gap).cast("double") if gap else F.lit(0.0)).alias("_gap"), (F.col(most) if most else F.lit(2**31 - 1)).cast("long").alias("_most"))
+    rows = rows.dropna(subset=["x", "y", "r"])
+    rows = rows.repartition(*key) if key else rows.coalesce(1)
+    rows = rows.sortWithinPartitions(*key, *(f"_k{i}" for i in range(len(rank))), "cluster", "x", "y", "r", "_gap")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = Apart(factor), None
+        for part in parts:
+            owner = list(zip(*(part[k].to_pylist() for k in key))) if key else [()] * part.num_rows
+            keep = []
+            for who, x, y, r, space, limit in zip(owner, *(part[c].to_pylist() for c in ("x", "y", "r", "_gap", "_most"))):
+                if name is None or who != name:
+                    held, name = Apart(factor), who
+                keep.append(len(held.kept) < limit and held.take(x, y, r, space))
+            yield part.filter(pa.array(keep, pa.bool_())).select([*key, "cluster", "x", "y", "r"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def least_support(frames: Column, share: float = 0.07, low: int = 8, high: int = 40) -> Column:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.functions.ranking import positioned
-from seriesforge.operators.graph import greedy_independent
+from seriesforge.operators.diverse import kept_in_order
 
 
 def regression_metrics(df: DataFrame, group: str) -> DataFrame:
@@ -79,10 +78,5 @@ def near_shapes(df: DataFrame, order: str, vector: str, most: float, key: list[s
 
 
 def unique_in_order(df: DataFrame, key: list[str], order: str, vector: str, least: float) -> DataFrame:
-    """Rows whose vector lies more than ``least`` from every kept earlier one of their key: key, order.
-
-    Near pairs are found by ``near_shapes``; rounds over them decide all keys together.
-    """
-    rows = positioned(df.select(*key, order, F.col(vector).cast("array<double>").alias("_vector")), [*key, order, "_vector"], "_position")
-    kept = greedy_independent(rows.select(F.col("_position").alias("id")), near_shapes(rows, "_position", "_vector", least, key))
-    return rows.join(kept.select(F.col("id").alias("_position")), "_position", "left_semi").select(*key, order)
+    """Rows whose vector lies more than ``least`` from every kept earlier one of their key: key, order."""
+    return kept_in_order(df.select(*key, order, vector), key, [order], vector, least).select(*key, order)

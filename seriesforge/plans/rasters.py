@@ -181,9 +181,7 @@ SELECT g AS label, id AS vec_id FROM ke"""
 
 
 def unique_shapes_mis(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    kept = graph.greedy_independent(e.select(F.col("vec_id").alias("id")), metrics.near_shapes(e, "vec_id", "embedding", NEAR))
-    return kept.select(F.col("id").alias("vec_id"))
+    return metrics.unique_in_order(table(spark, d, "embeddings"), [], "vec_id", "embedding", NEAR)
 
 
 UNIQUE_SHAPES_MIS = f"""WITH RECURSIVE v AS (SELECT 0 AS g, vec_id AS id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) AS rk FROM embeddings), {greedy("v", _ERROR + f" <= {NEAR}::DOUBLE")}
