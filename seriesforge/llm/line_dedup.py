@@ -34,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -160,13 +159,13 @@ def _suspects(spark: SparkSession, docs: DataFrame, packed: bytes) -> DataFrame:
                 found.append([{"key": hashlib.sha256(k).digest(), "at": v} for k, v in own.items()] or None)
             kind = pa.list_(pa.struct([("key", pa.binary()), ("at", pa.list_(pa.int32()))]))
             columns = [part["id"], part["t"], pa.array(lines, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(found, kind)]
-            held = pc.if_else(pc.is_valid(columns[-1]), part["text"], pa.scalar(None, part["text"].type))
+            held = pa.array([t if f else None for t, f in zip(texts, found)], pa.binary())
             yield pa.RecordBatch.from_arrays([*columns, held], ["id", "t", "n_lines", "sha", "found", "text"])
             del part
         del bits
         release()
 
-    return docs.mapInArrow(run, "id long, t long, n_lines long, sha string, found array<struct<key:binary,at:array<int>>>, text string")
+    return docs.mapInArrow(run, "id long, t long, n_lines long, sha string, found array<struct<key:binary,at:array<int>>>, text binary")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +173,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         drops = [set(x or ()) for x in part["drops"].to_pylist()]
         texts = [b"\n".join(line for i, line in enumerate(t.split(b"\n")) if i not in d) for t, d in zip(texts_of(part["text"]), drops)]
-        columns = [part["id"], part["n_lines"], pa.array(map(len, drops), pa.int64()), pa.array(texts, pa.binary()).cast(pa.string(), safe=False)]
+        columns = [part["id"], part["n_lines"], pa.array(map(len, drops), pa.int64()), pa.array(texts, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["id", "n_lines", "n_dropped", "text"])
     release()
 
@@ -197,15 +196,15 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
 def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that lose lines: id, n_lines, n_dropped, text (the lines that stay)."""
-    out = _judged(docs, id_col, text_col)[1].where(F.col("drops").isNotNull()).select("id", "n_lines", "text", "drops").mapInArrow(_without, "id long, n_lines long, n_dropped long, text string")
-    return out.withColumnRenamed("id", id_col)
+    out = _judged(docs, id_col, text_col)[1].where(F.col("drops").isNotNull()).select("id", "n_lines", "text", "drops").mapInArrow(_without, "id long, n_lines long, n_dropped long, text binary")
+    return out.withColumn("text", F.col("text").cast("string")).withColumnRenamed("id", id_col)
 
 
 def line_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_lines, n_dropped, kept_sha256 of the lines that stay."""
     whole, some = _judged(docs, id_col, text_col)
     done = whole.unionByName(some.where(F.col("drops").isNull()), allowMissingColumns=True).select("id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), F.col("sha").alias("kept_sha256"))
-    cut = some.where(F.col("drops").isNotNull()).select("id", "n_lines", "text", "drops").mapInArrow(_without, "id long, n_lines long, n_dropped long, text string")
+    cut = some.where(F.col("drops").isNotNull()).select("id", "n_lines", "text", "drops").mapInArrow(_without, "id long, n_lines long, n_dropped long, text binary")
     cut = cut.select("id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
     return done.unionByName(cut).withColumnRenamed("id", id_col)
 
