@@ -64,13 +64,25 @@ def pixel_id(x: Column, y: Column, frame: Column) -> Column:
     return F.shiftleft(frame.cast("long"), 40) + F.shiftleft(y.cast("long"), 20) + x.cast("long")
 
 
+def _pieces(pixels: DataFrame, frame: str) -> DataFrame:
+    """Pixels with the component (least pixel id) that they belong to; rows without a frame or a place belong to none."""
+    own = pixels.select(F.col(frame).cast("long").alias(frame), F.col("px").cast("long"), F.col("py").cast("long")).dropna().distinct()
+    own = own.withColumn("id", pixel_id(F.col("px"), F.col("py"), F.col(frame)))
+    pairs = neighbours(own, [frame])
+    edges = pairs.select(pixel_id(F.col("px"), F.col("py"), F.col(frame)).alias("a"), pixel_id(F.col("qx"), F.col("qy"), F.col(frame)).alias("b")).where("a < b")
+    return own.join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
 def large_components(pixels: DataFrame, frame: str, least: int) -> DataFrame:
     """frame, component (least pixel id), area: pieces of touching pixels of at least this area."""
-    own = pixels.select(frame, pixel_id(F.col("px"), F.col("py"), F.col(frame)).alias("id"))
-    pairs = neighbours(pixels, [frame])
-    edges = pairs.select(pixel_id(F.col("px"), F.col("py"), F.col(frame)).alias("a"), pixel_id(F.col("qx"), F.col("qy"), F.col(frame)).alias("b")).where("a < b")
-    named = own.join(components(edges), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return named.groupBy(frame, "component").agg(F.count("*").alias("area")).where(F.col("area") >= least)
+    return _pieces(pixels, frame).groupBy(frame, "component").agg(F.count("*").alias("area")).where(F.col("area") >= least)
+
+
+def component_pixels(pixels: DataFrame, frame: str, least: int) -> DataFrame:
+    """The pixels (frame, px, py) of pieces of at least this area."""
+    named = staged(_pieces(pixels, frame))
+    large = named.groupBy("component").agg(F.count("*").alias("area")).where(F.col("area") >= least)
+    return named.join(large, "component", "left_semi").select(frame, "px", "py")
 
 
 def _farthest(start: int, around: dict[int, list[int]]) -> tuple[int, dict[int, int | None]]:

@@ -12,7 +12,7 @@ from seriesforge.plans.common import r6, table
 WIDTH, HEIGHT = 80, 25
 
 
-def _pixels(spark: SparkSession, d: str) -> DataFrame:
+def pixels(spark: SparkSession, d: str) -> DataFrame:
     """Every order is a pixel, 2,000 of them a frame: gray by its price, with dark sides and a bright disc."""
     k, px, py, f = F.col("o_orderkey"), F.col("px"), F.col("py"), F.col("frame")
     grid = table(spark, d, "orders").select(F.floor(k / (WIDTH * HEIGHT)).alias("frame"), (k % WIDTH).alias("px"), (F.floor(k / WIDTH) % HEIGHT).alias("py"), F.floor("o_totalprice").alias("price"))
@@ -32,11 +32,11 @@ def _circles(spark: SparkSession) -> DataFrame:
 
 
 def max_projection(spark: SparkSession, d: str) -> DataFrame:
-    return raster.max_projection(_pixels(spark, d))
+    return raster.max_projection(pixels(spark, d))
 
 
 def disc_mean(spark: SparkSession, d: str) -> DataFrame:
-    return raster.disc_means(_pixels(spark, d), _circles(spark), WIDTH, HEIGHT).select("frame", "circle", *r6("value"))
+    return raster.disc_means(pixels(spark, d), _circles(spark), WIDTH, HEIGHT).select("frame", "circle", *r6("value"))
 
 
 DISC_MEAN = f"""WITH {PIXELS} SELECT frame, circle, round(avg(gray), 6) AS value FROM pix, ci
@@ -45,7 +45,7 @@ WHERE pow(px - round_even(x, 0), 2) + pow(py - round_even(y, 0), 2) <= pow(round
 
 def patch_mean_9pt(spark: SparkSession, d: str) -> DataFrame:
     """Circles that drift by half a pixel a frame, three frames long, then start again."""
-    p = _pixels(spark, d)
+    p = pixels(spark, d)
     at = F.explode(F.array(*(F.struct(F.lit(c).cast("long").alias("circle"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(r).alias("r")) for c, x, y, r in PLACES)))
     circles = p.select("frame").distinct().select("frame", at.alias("c")).select("frame", "c.circle", (F.col("c.x") + F.col("frame") % 3 * 0.5).alias("x"), "c.y", "c.r")
     points = raster.sample_points(circles, ["frame", "circle"])
@@ -60,7 +60,7 @@ SELECT fr AS frame, circle, point, round(coalesce(avg(gray), 0), 6) AS value FRO
 
 
 def window_mean(spark: SparkSession, d: str) -> DataFrame:
-    return raster.window_means(_pixels(spark, d), _circles(spark), WIDTH, HEIGHT).select("frame", "circle", *r6("value"))
+    return raster.window_means(pixels(spark, d), _circles(spark), WIDTH, HEIGHT).select("frame", "circle", *r6("value"))
 
 
 WINDOW_MEAN = f"""WITH {PIXELS}, w AS (SELECT *, greatest(8, round_even(r * 0.25::DOUBLE, 0)) AS h, round_even(x, 0) AS ix, round_even(y, 0) AS iy FROM ci)
@@ -68,14 +68,14 @@ SELECT frame, circle, round(avg(gray), 6) AS value FROM pix, w WHERE px BETWEEN
 
 
 def pooled_mean(spark: SparkSession, d: str) -> DataFrame:
-    return raster.pooled_mean(_pixels(spark, d), _circles(spark), WIDTH, HEIGHT).select("frame", *r6("value"), "n")
+    return raster.pooled_mean(pixels(spark, d), _circles(spark), WIDTH, HEIGHT).select("frame", *r6("value"), "n")
 
 
 POOLED_MEAN = f"WITH {PIXELS} SELECT frame, round(avg(gray), 6) AS value, count(*) AS n FROM pix, ci WHERE pow(px - x, 2) + pow(py - y, 2) < r * r GROUP BY frame"
 
 
 def circle_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return raster.circle_evidence(_pixels(spark, d), _circles(spark), WIDTH, HEIGHT).select("frame", "circle", *r6("score"))
+    return raster.circle_evidence(pixels(spark, d), _circles(spark), WIDTH, HEIGHT).select("frame", "circle", *r6("score"))
 
 
 CIRCLE_EVIDENCE = f"""WITH {PIXELS},
@@ -89,7 +89,7 @@ SELECT lv.frame, lv.circle, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE a
 
 
 def black_bars(spark: SparkSession, d: str) -> DataFrame:
-    return raster.black_bars(_pixels(spark, d))
+    return raster.black_bars(pixels(spark, d))
 
 
 BLACK_BARS = f"""WITH {PIXELS}, m AS (SELECT frame, px, avg(gray) AS g FROM pix GROUP BY 1, 2),
@@ -99,7 +99,7 @@ SELECT frame, CASE WHEN l < 20 THEN 0 ELSE l END AS "left", CASE WHEN r < 20 THE
 
 def mask_shape(spark: SparkSession, d: str) -> DataFrame:
     """Bright pixels as the mask, their middle row as the spine; every third frame has no spine."""
-    mask = _pixels(spark, d).where("gray > 100")
+    mask = pixels(spark, d).where("gray > 100")
     return raster.mask_shape(mask, mask.where("py = 10 and frame % 3 <> 2")).select("frame", "area", "length", *r6("thickness"))
 
 
@@ -108,7 +108,7 @@ SELECT frame, area, length, round(coalesce(area / nullif(length, 0)::DOUBLE, 0),
 
 
 def unboxed(spark: SparkSession, d: str) -> DataFrame:
-    out = raster.unboxed(_pixels(spark, d).where("gray > 100").select("frame", "px", "py"), F.lit(0.5), F.lit(10), F.lit(4), F.lit(22))
+    out = raster.unboxed(pixels(spark, d).where("gray > 100").select("frame", "px", "py"), F.lit(0.5), F.lit(10), F.lit(4), F.lit(22))
     return out.select("frame", "px", "py")
 
 
