@@ -6,7 +6,9 @@ distinct path; their ratios to the number of blocks on the path are smoothed
 along the page, fused with what the path has itself, and paths are thresholded
 by the spread of these scores. Blocks on the chosen paths are the article,
 with what stands amid them in the same element (or in the same article
-element) and is not links, and the headings right before them.
+element) and is not links, the paragraphs, lists, tables and headings of that
+element that follow or precede them without a break, and the headings right
+before any of these.
 
 Names in markup (nav, comments, adverts, forms and the like) never delete text
 by themselves: a faint hint lowers the score of a path, a clear one lets the
@@ -28,20 +30,51 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from seriesforge.llm.common import map_rows, table, texts_of
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title|select|object|annotation)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z!?][^>]*+>|<[!?][^>]*+>",
-    re.S | re.I,
-)
+def _tags(attrs: str) -> re.Pattern:
+    """Comments, elements without markup inside, tags, and other markup; ``attrs`` says how far a tag goes."""
+    return re.compile(
+        r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+        rf"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|title|select|object|annotation)\b{attrs}>.*?(?:</(?P=raw)\s*>|\Z)"
+        rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{attrs})>"
+        r"|<[!?/][^>]*+>",
+        re.S | re.I,
+    )
+
+
+#: Tags end at the first ``>`` outside quotes; on pages where that runs to the end once, at the first ``>``.
+TOKEN, PLAIN = _tags(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"), _tags(r"[^>]*+")
+OPENS = re.compile(r"<!--|<!\[CDATA\[", re.I)
+
+
+def tokens(page: str) -> Iterator[re.Match]:
+    """Markup in order, in one pass: a search that finds no end is not repeated."""
+    last, pattern, at = page.rfind(">"), TOKEN, 0
+    while (at := page.find("<", at)) >= 0:
+        if at > last:  # no tag can end; what opens a comment hides the rest
+            if m := OPENS.search(page, at):
+                yield TOKEN.match(page, m.start())
+            return
+        m = pattern.match(page, at)
+        if m is None and pattern is TOKEN and page[at + 1 : at + 2].isalpha():
+            pattern = PLAIN
+            m = pattern.match(page, at)
+        if m is None:
+            at += 1
+        else:
+            yield m
+            at = m.end()
+
+
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,7 +93,7 @@ HINT = (
     "breadcrumb|breadcrumbs|footer|masthead|share|sharing|social|"
     "related|recommended|recommendations|trending|widget|widgets|toolbar|pagination|pager|login|search|searchbox|form|skip|skip-link|copyright|tags|toc"
 )
-REMARKS = "comment|comments|commentlist|reply|replies|respond|disqus|discussion"
+REMARKS = "comment|comments|commentlist|responses|reply|replies|respond|disqus|discussion"
 WHOLE = re.compile(rf"(?:{HINT}|{REMARKS}|header|site-header|page-header|.*[-_](?:{REMARKS}))\Z", re.I)
 LAST = re.compile(rf".*[-_](?:{HINT})\Z", re.I)
 FIRST = re.compile(rf"(?:{HINT}|{REMARKS})[-_].*\Z", re.I)
@@ -79,6 +112,10 @@ FAINT_SHARE = 0.5
 #: Elements of one name go if at least this share of the content is outside them.
 OUTSIDE = {LIKELY: 0.3, SURE: 0.03}
 HEADING = re.compile(r"h[1-6]\Z")
+#: What text is made of: blocks of these elements alone, right before or after the content in its element, go on with it.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table thead tbody tr td th caption figure figcaption".split())
+#: A path whose score is less than this share of the best path's is no content.
+LEAST_SHARE = 0.1
 
 
 def _named(tag: str, attrs: str, inside_article: bool) -> int:
@@ -98,28 +135,54 @@ def _named(tag: str, attrs: str, inside_article: bool) -> int:
     return found
 
 
+class Element:
+    """A block element: its parent, its tag with a mark for what its names hint at, and the blocks that it holds."""
+
+    __slots__ = ("base", "faint", "first", "heading", "last", "parent", "path", "sure", "tag", "title")
+
+    def __init__(self, parent: Element | None, tag: str, how: int, path: int, first: int) -> None:
+        self.parent, self.tag, self.path, self.first, self.last = parent, tag, path, first, -1
+        self.sure = how >= SURE or parent is not None and parent.sure
+        self.faint = (how == FAINT) + (parent.faint if parent else 0)
+        self.base = parent.base if parent is not None and tag in FLOW else self  # the element that the running text stands in
+        self.title = tag == "h1" and not how or parent is not None and parent.title
+        self.heading = bool(HEADING.match(tag)) and not how or parent is not None and parent.heading
+
+
 @dataclass
 class Block:
     """Text between two borders of blocks."""
 
-    chain: tuple[int, ...]  # numbers of the block elements around it
-    path: tuple[str, ...]  # their tags, with a mark for what their names hint at
+    element: Element
     text: str
     own: int  # characters outside links
     marks: int  # punctuation outside links
 
+    @property
+    def path(self) -> int:
+        return self.element.path
+
     @property
     def linked(self) -> bool:
         return 2 * self.own < len(self.text)
 
 
-def blocks_of(page: str) -> tuple[list[Block], dict[int, tuple[int, str]]]:
-    """The page's blocks, and how surely which elements (by number, with their start tag) are named as no article text."""
+def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, str, Element]], list[Element]]:
+    """The page's blocks, how surely which elements (with their start tags) are named as no article text, and its articles.
+
+    An element holds blocks that follow each other, so it says which with two
+    numbers; paths are numbered as they appear. Nothing is copied for a block.
+    """
     out: list[Block] = []
-    hints: dict[int, tuple[int, str]] = {}
-    stack: list[tuple[str, int, int]] = []  # tag, number, hint
+    hints: list[tuple[int, str, Element]] = []
+    in_articles: list[Element] = []
+    paths: dict[tuple[int, str, int], int] = {}
+    root = Element(None, "", 0, 0, 0)
+    stack: list[tuple[str, int, Element]] = []  # tag, hint, the innermost block element
     run: list[tuple[str, bool]] = []
-    number, at, hidden, articles, links = 0, 0, 0, 0, 0
+    open_: Counter[str] = Counter()  # tags on the stack
+    scopes: list[tuple[int, Counter[str]]] = [(-1, Counter())]  # where a scope begins on the stack, and the tags open in it
+    at, hidden, articles, links = 0, 0, 0, 0
 
     def text(raw: str) -> None:
         if raw and not hidden:
@@ -130,19 +193,39 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, tuple[int, str]]]:
             joined = " ".join("".join(x for x, _ in run).split())
             if joined:
                 own = joined if not any(is_link for _, is_link in run) else " ".join("".join(x for x, is_link in run if not is_link).split())
-                outer = [x for x in stack if x[0] not in INLINE]
-                out.append(Block(tuple(x[1] for x in outer), tuple(x[0] + "?!!"[x[2] - 1] if x[2] else x[0] for x in outer), joined, len(own), len(PUNCTUATION.findall(own))))
+                out.append(Block(stack[-1][2] if stack else root, joined, len(own), len(PUNCTUATION.findall(own))))
             run.clear()
 
     def closed(i: int) -> None:
         nonlocal hidden, articles, links
-        for tag, _, how in stack[i:]:
+        for tag, how, element in reversed(stack[i:]):
+            if tag in SCOPE:
+                scopes.pop()
+            else:
+                scopes[-1][1][tag] -= 1
             hidden -= how == HIDDEN
-            articles -= tag == "article"
+            articles -= tag in ("article", "main")
             links -= tag == "a"
+            open_[tag] -= 1
+            if tag not in INLINE:
+                element.last = len(out) - 1
         del stack[i:]
 
-    for m in TOKEN.finditer(page):
+    def implied(closes: tuple[str, ...]) -> None:
+        """Closes what a start tag ends; only elements that go are looked at."""
+        while True:
+            begins, counts = scopes[-1]
+            if n := sum(counts[x] for x in closes):
+                i = len(stack)
+                while n:
+                    i -= 1
+                    n -= stack[i][0] in closes
+                closed(i)
+            if begins < 0 or stack[begins][0] not in closes:
+                return
+            closed(begins)
+
+    for m in tokens(page):
         text(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
@@ -157,32 +240,35 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, tuple[int, str]]]:
         if tag in VOID:
             continue
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    closed(i)
-                    break
-                if tag == "p" and stack[i][0] in SCOPE:
-                    break
+            if scopes[-1][1][tag] if tag == "p" else open_[tag]:
+                closed(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
-        if closes := CLOSES.get(tag):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    closed(i)
-                elif stack[i][0] in SCOPE:
-                    break
+        if tag in CLOSES:
+            implied(CLOSES[tag])
         if m["attrs"].endswith("/") and tag not in INLINE:
             continue
-        number += 1
         how = _named(tag, m["attrs"], articles > 0)
-        if how in (LIKELY, SURE):
-            hints[number] = how, m[0]
-        stack.append((tag, number, how))
+        around = stack[-1][2] if stack else root
+        if tag not in INLINE:
+            around = Element(around, tag, how, paths.setdefault((around.path, tag, how), len(paths) + 1), len(out))
+            if how in (LIKELY, SURE):
+                hints.append((how, m[0], around))
+            if tag == "article":
+                in_articles.append(around)
+        stack.append((tag, how, around))
+        open_[tag] += 1
+        if tag in SCOPE:
+            scopes.append((len(stack) - 1, Counter()))
+        else:
+            scopes[-1][1][tag] += 1
         hidden += how == HIDDEN
-        articles += tag == "article"
+        articles += tag in ("article", "main")
         links += tag == "a"
     text(page[at:])
     border()
-    return out, hints
+    closed(0)
+    root.last = len(out) - 1
+    return out, hints, in_articles
 
 
 def smoothed(x: list[float]) -> list[float]:
@@ -195,24 +281,23 @@ def smoothed(x: list[float]) -> list[float]:
     return out
 
 
-def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
+def path_scores(blocks: list[Block]) -> dict[int, float]:
     """The ratios of each path, before smoothing: text and punctuation outside links for each block on it, the spread of their lengths, and all its text."""
-    sums: dict[tuple[str, ...], list[int]] = {}
+    sums: dict[int, list[int]] = {}
     for x in blocks:
-        s = sums.setdefault(x.path, [0, 0, 0, 0])
+        s = sums.setdefault(x.path, [0, 0, 0, 0, x.element.faint])
         s[0] += 1
         s[1] += x.own
         s[2] += x.marks
         s[3] += x.own * x.own
     out = {}
-    for p, (k, n, marks, squares) in sums.items():
+    for p, (k, n, marks, squares, faint) in sums.items():
         spread = math.sqrt(max(0.0, squares / k - (n / k) ** 2))
-        faint = FAINT_SHARE ** sum(x.endswith("?") for x in p)
-        out[p] = faint * math.sqrt(n / k) * math.log1p(UNMARKED + marks / k) * math.log1p(1 + spread) * math.log1p(n)
+        out[p] = FAINT_SHARE**faint * math.sqrt(n / k) * math.log1p(UNMARKED + marks / k) * math.log1p(1 + spread) * math.log1p(n)
     return out
 
 
-def content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
+def content_paths(blocks: list[Block]) -> set[int]:
     """Paths whose scores, fused with the smoothed scores around their blocks, reach the threshold."""
     score = path_scores(blocks)
     own = [score[x.path] for x in blocks]
@@ -220,53 +305,76 @@ def content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
     if not any(fused):
         return set()
     mean = sum(fused) / len(fused)
-    cut = SPREADS * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    by_path: dict[tuple[str, ...], list[float]] = {}
+    by_path: dict[int, list[float]] = {}
     for x, f in zip(blocks, fused, strict=True):
         by_path.setdefault(x.path, []).append(f)
-    return {p for p, f in by_path.items() if 0 < sum(f) / len(f) >= cut}
+    means = {p: sum(f) / len(f) for p, f in by_path.items()}
+    cut = max(SPREADS * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused)), LEAST_SHARE * max(means.values()))
+    return {p for p, f in means.items() if 0 < f and f >= cut}
 
 
-def without_named(blocks: list[Block], hints: dict[int, tuple[int, str]]) -> list[Block]:
-    """The blocks outside elements whose names rule them out, where enough content is left outside."""
+def without_named(blocks: list[Block], hints: list[tuple[int, str, Element]]) -> np.ndarray:
+    """Which blocks stand outside elements whose names rule them out, where enough content is left outside."""
     chosen = content_paths(blocks)
-    content = [x for x in blocks if x.path in chosen]
-    total = sum(len(x.text) for x in content)
-    groups: dict[tuple[int, str], set[int]] = {}
-    for i, hint in hints.items():
-        groups.setdefault(hint, set()).add(i)
-    inside = {h: sum(len(x.text) for x in content if not ids.isdisjoint(x.chain)) for h, ids in groups.items()}
-    for (how, label), ids in sorted(groups.items(), key=lambda g: (inside[g[0]], g[0])):
-        rest = [x for x in content if ids.isdisjoint(x.chain)]
-        if sum(len(x.text) for x in rest) >= OUTSIDE[how] * total and (rest or not content):
-            content = rest
-            blocks = [x for x in blocks if ids.isdisjoint(x.chain)]
-    return blocks
+    alive = np.ones(len(blocks), bool)
+    weight = np.array([len(x.text) if x.path in chosen else 0 for x in blocks], np.int64)
+    total, left = int(weight.sum()), int(weight.sum())
+    groups: dict[tuple[int, str], list[tuple[int, int]]] = {}
+    for how, label, element in hints:
+        own = groups.setdefault((how, label), [])
+        if element.first <= element.last and not (own and element.last < own[-1][1]):  # elements come in order; one inside another of its name adds nothing
+            own.append((element.first, element.last + 1))
+    sums = np.concatenate([[0], np.cumsum(weight)])
+    inside = {g: int(sum(sums[b] - sums[a] for a, b in own)) for g, own in groups.items()}
+    for how, label in sorted(groups, key=lambda g: (inside[g], g)):
+        own = groups[how, label]
+        gone = int(sum(weight[a:b].sum() for a, b in own))
+        if left - gone >= OUTSIDE[how] * total and (left - gone or not total):
+            left -= gone
+            for a, b in own:
+                weight[a:b] = 0
+                alive[a:b] = False
+    return alive
 
 
 def main_text(page: str) -> str:
-    blocks, hints = blocks_of(page)
-    left = without_named(blocks, hints) if hints else blocks
-    blocks = left or [x for x in blocks if not any(y.endswith("!") for y in x.path)]
+    whole, hints, articles = blocks_of(page)
+    alive = without_named(whole, hints) if hints else np.ones(len(whole), bool)
+    if not alive.any():
+        alive = np.array([not x.element.sure for x in whole], bool)
+    places = np.flatnonzero(alive).tolist()
+    blocks = [whole[i] for i in places]
     chosen = content_paths(blocks)
     keep = [x.path in chosen for x in blocks]
     if not any(keep):  # nothing but links or headings
         return " ".join(x.text for x in blocks)
     first, last = keep.index(True), len(keep) - 1 - keep[::-1].index(True)
-    titles = [k for k in range(first) if "h1" in blocks[k].path]
+    titles = [k for k in range(first) if blocks[k].element.title]
     first = titles[-1] if titles else first
     # What stands amid the content, in the element that holds it or in its articles, belongs to it unless it is links.
-    holders = [x.chain for k, x in enumerate(blocks) if keep[k] or k in titles[-1:]]
-    common = 0
-    while all(len(c) > common and c[common] == holders[0][common] for c in holders):
-        common += 1
-    articles = {i for x, k in zip(blocks, keep, strict=True) if k for i, tag in zip(x.chain, x.path, strict=True) if tag.startswith("article")}
+    holder = blocks[first].element
+    while not (holder.first <= places[first] and places[last] <= holder.last) and holder.parent:
+        holder = holder.parent
+    held = np.concatenate([[0], np.cumsum(np.bincount([i for i, k in zip(places, keep, strict=True) if k], minlength=len(whole)))])
+    in_article = np.zeros(len(whole) + 1, np.int64)
+    for x in articles:
+        if x.first <= x.last and held[x.last + 1] > held[x.first]:
+            in_article[x.first] += 1
+            in_article[x.last + 1] -= 1
+    in_article = np.cumsum(in_article)
     for k, x in enumerate(blocks):
-        amid = first <= k <= last and x.chain[:common] == holders[0][:common] or not articles.isdisjoint(x.chain)
-        keep[k] = keep[k] or k in titles[-1:] or amid and not x.linked
+        amid = first <= k <= last and holder.first <= places[k] <= holder.last or in_article[places[k]]
+        keep[k] = keep[k] or k in titles[-1:] or bool(amid) and not x.linked
+
+    # Text of the holder itself goes on as long as it stands in paragraphs, lists, tables or headings.
+    for order in (range(last + 1, len(blocks)), range(first - 1, -1, -1)):
+        for k in order:
+            if not keep[k] and not (holder.first <= places[k] <= holder.last and blocks[k].element.base is holder.base and not blocks[k].linked):
+                break
+            keep[k] = True
     after = False
     for k in range(len(keep) - 1, -1, -1):
-        keep[k] = keep[k] or after and any(HEADING.match(y) for y in blocks[k].path)
+        keep[k] = keep[k] or after and blocks[k].element.heading
         after = keep[k]
     return " ".join(x.text for x, k in zip(blocks, keep, strict=True) if k)
 

@@ -267,17 +267,72 @@ def test_path_scores_equal_plain_sums():
     import math
 
     rng = random.Random(2)
-    blocks = [html_text.Block((), rng.choice([("body", "p"), ("body", "div?", "p"), ("li",)]), "x" * n, n, rng.randrange(9)) for n in rng.choices(range(200), k=60)]
+    elements = [html_text.Element(None, "p", how, i, 0) for i, how in enumerate((0, html_text.FAINT, 0))]
+    blocks = [html_text.Block(rng.choice(elements), "x" * n, n, rng.randrange(9)) for n in rng.choices(range(200), k=60)]
     for path, got in html_text.path_scores(blocks).items():
         own = [b for b in blocks if b.path == path]
         size = np.array([b.own for b in own], float)
-        want = (0.5 if "div?" in path else 1) * math.sqrt(size.mean()) * math.log1p(0.2 + np.mean([b.marks for b in own])) * math.log1p(1 + size.std()) * math.log1p(size.sum())
+        want = (0.5 if path == 1 else 1) * math.sqrt(size.mean()) * math.log1p(0.2 + np.mean([b.marks for b in own])) * math.log1p(1 + size.std()) * math.log1p(size.sum())
         assert got == pytest.approx(want)
     x = [rng.random() for _ in range(30)]
     weight = lambda i, j: math.exp(-((i - j) ** 2) / 2) if abs(i - j) <= 2 else 0.0
     assert html_text.smoothed(x) == pytest.approx([sum(weight(i, j) * y for j, y in enumerate(x)) / sum(weight(i, j) for j in range(30)) for i in range(30)])
 
 
+def test_chosen_paths_equal_a_plain_threshold():
+    """Fused scores, their spread, the mean of a path and its share of the best, by numpy."""
+    rng = random.Random(3)
+    for seed in range(20):
+        elements = [html_text.Element(None, "p", 0, i, 0) for i in range(5)]
+        blocks = [html_text.Block(rng.choice(elements), "x" * n, n, rng.randrange(1 + n // 20)) for n in rng.choices(range(300), k=40)]
+        score = html_text.path_scores(blocks)
+        own = np.array([score[b.path] for b in blocks])
+        fused = np.sqrt(own * np.array(html_text.smoothed(own.tolist())))
+        mean = {p: np.mean([f for f, b in zip(fused, blocks) if b.path == p]) for p in {b.path for b in blocks}}
+        want = {p for p, m in mean.items() if m > 0 and m >= max(0.5 * fused.std(), 0.1 * max(mean.values()))}
+        assert html_text.content_paths(blocks) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><p>Intro</p><p>{P}</p><p>{P} {P}</p><h2>Lists</h2><ul><li>alpha</li><li>beta</li></ul></body>", f"Intro {P} {P} {P} Lists alpha beta"),
+        (f"<main><header><h1>Headline</h1><p>Standfirst.</p></header><p>{P}</p><p>{P}</p></main>", f"Headline Standfirst. {P} {P}"),
+        (f"<body><article><p>{P}</p><p>{P} {P}</p></article><div class=responses><p>I agree, really.</p><p>Me too, thanks.</p></div></body>", f"{P} {P} {P}"),
+        (f"<body><div>My Site Name</div><div><p>{P}</p><p>{P} {P}</p></div><div>Contact: mail us</div></body>", f"{P} {P} {P}"),
+        (f"<body><div><pre>x = 1</pre><p>{P}</p><p>{P}</p><table><tr><td>a<td>b</table></div><div>Imprint</div></body>", f"x = 1 {P} {P} a b"),
+        (f'<p title="a > b">1 {P}</p><p>2 {P}</p><p data="x>2 {P}', f"1 {P} 2 {P}"),
+    ],
+)
+def test_pages_lose_nothing_of_the_content(page, want):
+    assert html_text.main_text(page).startswith(want)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000, "x <y " * 200_000, '<b "x>" ' * 125_000, "<a '" * 250_000 + ">", "<!-" * 300_000, "<script>" * 100_000, "< " * 500_000,
+        "".join(f"<div class='ad-{i}'>text {i}</div>" for i in range(10_000)) + "x" * 600_000, "".join(f"<div><p>p {i}, x.</p>" for i in range(40_000)),
+        "<i>" * 100_000 + "<p>x" * 100_000, "<p>" + "<i>" * 100_000 + "</p>x" * 100_000, "".join(f"<div class=nav-{i}><p>para {i}. " for i in range(30_000)),
+    ],
+    ids=range(12),
+)
+def test_odd_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 12  # 0.1 to 3 s; quadratic ones took minutes
+
+
+def test_pages_of_an_empty_table_and_odd_ids(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    assert html_text.extracted(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, None, "<p>a b</p>", "t", "n"), (1, "u", "<p>c</p>", "t", "n"), (1, "u", "<p>c</p>", "t", "n"), (2, "u", "<div><p>" + "Many words, and more. <b>x</b> " * 20_000 + "</p></div><footer>f</footer>", "t", "n")]
+    out = html_text.extracted(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.n_chars) for r in out) == [(False, 1, 1), (False, 1, 1), (False, 2, len("Many words, and more. x ") * 20_000 - 1), (True, 0, 3)]
+
+
 # 5: sharding
 
 def test_slots_are_claimed_in_turns_by_preference():
