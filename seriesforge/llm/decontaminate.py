@@ -14,7 +14,11 @@ An item is in a document if some run of the document's words is within
    item go through the same random walks, which turn edit distance into Hamming
    distance. Draws of a few steps are compared; one equal draw is a collision.
    How many steps a draw has follows from the item's size: as many as still
-   find RECALL of copies with all allowed edits.
+   find RECALL of copies with all allowed edits: four at 20 words, two at 45,
+   where of unrelated windows 3 and 63 in 100 collide too. From LONGEST words on
+   a fifth of edits keeps walks apart so often that no draw of more than one
+   step finds all copies, and one step is met by chance in every window. There
+   the embedding could reject nothing, and places go to the next step at once.
 3. An exact edit distance over the region decides.
 
 Scale: items are the query set. They are read in blocks of bounded size, each
@@ -54,6 +58,8 @@ TRIALS = 256
 WALKS = 8
 SAMPLES = 256
 MOST_POSITIONS = 4
+#: Items of so many words are not embedded.
+LONGEST = 60
 #: Aligned runs, and words of windows, that a task holds at once.
 AT_ONCE = 1 << 20
 WINDOW_WORDS = 1 << 15
@@ -145,7 +151,7 @@ class Block:
         self.words = [words_of(t) for _, t in items]
         self.edits = [allowed_edits(len(w), similarity) for w in self.words]
         self.allowed, self.sizes = np.array(self.edits, int), np.array([len(w) for w in self.words], int)
-        self.positions = {int(n): positions_for(m := measured_size(int(n)), allowed_edits(m, similarity)) for n in np.unique(self.sizes) if n}
+        self.positions = {int(n): positions_for(m := measured_size(int(n)), allowed_edits(m, similarity)) for n in np.unique(self.sizes) if 0 < n < LONGEST}
         self.least = np.ones(len(items), int)  # of an item's runs that stand in every match
         runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for k, (w, d) in enumerate(zip(self.words, self.edits, strict=True)):
@@ -257,7 +263,10 @@ class Block:
                 while held and (not some or size < WINDOW_WORDS):
                     some.append(held.pop())
                     size += len(some[-1][2]) * len(self.words[some[0][1]])
-                for (doc, item, starts), found in zip(some, self.alike([(i, docs[d], x) for d, i, x in some]), strict=True):
+                short = [(i, docs[d], x) for d, i, x in some if len(self.words[i]) < LONGEST]
+                alike = iter(self.alike(short) if short else ())
+                for doc, item, starts in some:
+                    found = len(self.words[item]) >= LONGEST or next(alike)
                     if found:
                         d, low = self.edits[item], max(0, int(starts[0]) - self.edits[item])
                         n, end = nearest(self.words[item], docs[doc][low : max(0, int(starts[-1]) + len(self.words[item]) + 2 * d)])

@@ -4,15 +4,18 @@ Beside three fixed patterns, strings of key-like characters in a sensitive
 context become candidates. Each is compressed with zstandard primed by a
 dictionary of common identifiers and the text around it; the bytes it adds, as
 a share of its length, are its novelty. Words, paths and identifiers that the
-surroundings explain add little; a random key adds about all of its bytes.
+surroundings explain add little; a random key adds about all of its bytes. So
+does a long word that nothing around it holds: strings made of words by their
+letters' case and kind, and plain numbers, are no secrets.
 From 64 bytes on zstandard codes literals by their frequency, which makes small
 alphabets look explained, so longer strings are scored in shorter pieces.
 
 Documents are scanned whole, each inside its task; nothing is shuffled.
 
 Defined results: a null text counts as empty; a document without secrets has
-zero counts, an empty span list and the hash of the empty string; repeated rows
-give repeated results; an empty table gives an empty result.
+zero counts, an empty span list and the hash of the empty string; null and
+repeated ids are returned as they are; an empty table gives an empty result;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,19 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # of maximal runs, those of 32 or more
 KINDS = ("assign", "access", "hex", "novel")
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
-SENSITIVE = re.compile(r"key|secret|token|passw|pwd|credential|auth|bearer|private|signature|cookie|session|conn(?:ection)?[_ ]?str", re.I)
+#: Sensitive words, from border to border: no letter beside them, or a capital where small letters end (apiKey, but no monkey).
+SENSITIVE = re.compile(
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
+    r"(?i:(?:api|app|auth|access|secret|private|client|session|encryption|signing|master)?[_-]?(?:key|secret|token|password|passwd|passphrase|passw|pwd|credential)s?"
+    r"|auth|authorization|authentication|bearer|private|signature|cookie|session|session_?id|conn(?:ection)?[_ ]?str(?:ing)?)"
+    r"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
+)
+#: What ordinary words look like: letters of one case or capitalised, several of them as in camelCase, with a short number or none; or a number no longer than those of cards and accounts.
+WORDLIKE = re.compile(r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*|[A-Z]+)\d{0,4}|\d{1,24}")
+APART = re.compile(r"[-_/+=]+")
+#: No word: so many letters without a vowel, or this share of letters that words of the Latin alphabet rarely use.
+CONSONANTS, RARE_SHARE = re.compile(r"[bcdfghjklmnpqrstvwxz]{7}", re.I), 0.3
+RARE = re.compile(r"[jkqvwxyz]", re.I)
 #: Characters on either side of a candidate, or of adjoining ones, in which a sensitive word must stand.
 NEAR = 48
 #: What stands between the lines of one wrapped value: a line end amid white space, quotes and marks, or an escaped one, whose letter the next line gets.
@@ -64,6 +79,18 @@ def novelty(candidate: bytes, around: bytes) -> float:
     return (len(packer.compress(candidate)) - len(packer.compress(b""))) / len(candidate)
 
 
+def is_ordinary(candidate: str) -> bool:
+    """Whether the candidate is words, alone, hyphenated or as a path or an identifier, or a number.
+
+    Nothing around a long word may hold it, so that it adds its bytes like a key; its letters tell the two apart.
+    """
+    parts = [x for x in APART.split(candidate) if x]
+    if not all(WORDLIKE.fullmatch(x) for x in parts):
+        return False
+    letters = "".join(x for x in candidate if x.isalpha())
+    return not any(CONSONANTS.search(x) for x in parts) and len(RARE.findall(letters)) < RARE_SHARE * max(len(letters), 1)
+
+
 def is_news(text: str, a: int, b: int) -> bool:
     """Whether some piece of text[a:b] is news after what stands before it, earlier pieces too, and after the whole."""
     after = "\n" + text[b : b + AROUND]
@@ -97,7 +124,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         if groups and (gap := BETWEEN.match(text, groups[-1][-1][1])) and gap.end() == m.start():
             groups[-1].append(m.span())
         else:
-            groups.append([m.span()])
+            name = text.find("=", m.start(), m.end() - 16)  # NAME=value: the name is context
+            groups.append([(name + 1 or m.start(), m.end())])
     taken = sorted((a, b) for a, _, b in base)
     out, k, reach = [], 0, 0
     for group in groups:
@@ -109,7 +137,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
                 k += 1
             if reach <= a:
                 free.append((a, b))
-        found = [(a, 3, b) for a, b in free if is_news(text, a, b)] if sensitive else []
+        found = [(a, 3, b) for a, b in free if not is_ordinary(text[a:b]) and is_news(text, a, b)] if sensitive else []
         out += found
         sizes = [b - a for a, b in group]
         # A wrapped value may end in a line too short for a candidate.

@@ -542,6 +542,28 @@ def test_random_keys_of_any_alphabet_and_length(alphabet):
         assert secrets.novel_spans(f"ENCRYPTION_KEY = {plain} # set", []) == []
 
 
+PROSE = [
+    "The author discussed internationalization with the team.", "keyboard layout: deinstitutionalization", "monkey business: counterrevolutionaries",
+    "a session about Verfassungsgerichtsurteile", "private University-of-California-Berkeley", "The session cookie: straightforwardness is a virtue",
+    "Une session privée, private: anticonstitutionnellement", "clave privada, private key: electroencefalografista", "The key: Donaudampfschifffahrtsgesellschaft",
+    "auth card 4111111111111111 token 5500005555555559", "my_token getUserSessionTokenFromRequest", "private /usr/local/lib/python/site-packages/module",
+    "Key industrialisierungsprozesse session Wirtschaftswissenschaften", "password policy: Geschwindigkeitsbegrenzungen", "the secret 20240131-20250131 2024/01/31/2025",
+    "Passwort password: Rechtsschutzversicherungsgesellschaften", "contraseña password internacionalizaciones", "signature interministérielles-gouvernementales",
+]
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_prose_with_sensitive_words_holds_no_secret(text):
+    assert secrets.novel_spans(text, secrets.base_spans(text)) == []
+
+
+@pytest.mark.parametrize("head", ["apiKey: ", "ENCRYPTION_KEY=", "auth-token ", "my password is ", "session_id=", "Authorization: Bearer ", "privateKey = '", "the keys are "])
+def test_sensitive_words_have_borders(head):
+    key = "q7Zp0VxT3mWk9RbYc2Ld"
+    assert [k for _, k, _ in secrets.novel_spans(head + key, [])] == [3]
+    assert secrets.novel_spans("monkeys, keyboards and authors " + key, []) == []
+
+
 def test_long_and_wrapped_keys():
     rng = random.Random(9)
     body = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1606)) + "=="
