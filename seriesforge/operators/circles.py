@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from seriesforge.functions.plane import Apart, Leaders
+from seriesforge.functions.quantiles import exact_quantiles, with_key_values
+from seriesforge.functions.staging import staged
 
 
 def stable_order(df: DataFrame, key: list[str], tie: list[str]) -> DataFrame:
@@ -125,14 +127,29 @@ def layout_selection(clusters: DataFrame, key: list[str], frames: str, target: s
     return full.select(*key, "cluster", "x", "y", F.col("_ref").alias("r"), F.col("_f").alias("factor"))
 
 
+def _per_key(df: DataFrame, key: list[str], values: list[DataFrame], *more: Column) -> DataFrame:
+    """One staged row for each key: ``_rows`` and further sums, and the values that other tables hold by key."""
+    out = df.groupBy(*key).agg(F.count("*").alias("_rows"), *more)
+    for v in values:
+        named = v.select(*(F.col(k).alias(f"_v_{k}") for k in key), *(c for c in v.columns if c not in key))
+        found = F.lit(True)
+        for k in key:
+            found = found & F.col(k).eqNullSafe(F.col(f"_v_{k}"))
+        out = out.join(named, found, "left").drop(*(f"_v_{k}" for k in key))
+    return staged(out)
+
+
 def consensus_shift(df: DataFrame, key: list[str], most: float, inlier: float = 7.0) -> DataFrame:
-    """The shift that most candidates (dx, dy) agree on, no longer than ``most``; zero without candidates."""
-    w = W.partitionBy(*key)
-    near = F.hypot("dx", "dy") <= most
-    rows = df.select(*key, *(F.when(near, F.col(c)).alias(c) for c in ("dx", "dy")))
-    rows = rows.withColumn("_mx", F.median("dx").over(w)).withColumn("_my", F.median("dy").over(w))
-    close = F.hypot(F.col("dx") - F.col("_mx"), F.col("dy") - F.col("_my")) <= inlier
-    out = rows.groupBy(*key).agg(*(F.coalesce(F.median(F.when(close, F.col(c))), F.first(m), F.lit(0.0)).alias(c) for c, m in (("dx", "_mx"), ("dy", "_my"))))
+    """The shift that most candidates (dx, dy) agree on, no longer than ``most``; zero without candidates.
+
+    Medians are exact and no key's candidates meet in one task.
+    """
+    near = df.select(*key, "dx", "dy").where(F.hypot("dx", "dy") <= most)
+    medians = lambda rows, x, y: [exact_quantiles(rows, key, "dx", {x: 0.5}), exact_quantiles(rows, key, "dy", {y: 0.5})]
+    first = _per_key(df, key, medians(near, "_mx", "_my"))
+    close = with_key_values(near, first, key, "_rows").where(F.hypot(F.col("dx") - F.col("_mx"), F.col("dy") - F.col("_my")) <= inlier).select(*key, "dx", "dy")
+    out = _per_key(df, key, [*medians(close, "_cx", "_cy"), first.drop("_rows")])
+    out = out.select(*key, F.coalesce("_cx", "_mx", F.lit(0.0)).alias("dx"), F.coalesce("_cy", "_my", F.lit(0.0)).alias("dy"))
     norm = F.hypot("dx", "dy")
     shrink = F.when(norm > most, most / norm).otherwise(1.0)
     return out.select(*key, (F.col("dx") * shrink).alias("dx"), (F.col("dy") * shrink).alias("dy"))
@@ -151,22 +168,28 @@ def tracked(df: DataFrame, key: list[str], order: str, alpha: float = 0.70) -> D
 
 
 def refined_radius(df: DataFrame, key: list[str], least: int = 5, floor: float = 70.0) -> DataFrame:
-    """Median radius of the bright candidates of each circle, of all if few are bright, of none if there are few."""
-    w = W.partitionBy(*key)
-    rows = df.withColumn("_cut", F.greatest(F.lit(floor), F.percentile("brightness", 0.7).over(w))).withColumn("_n", F.count("*").over(w))
-    bright = F.col("brightness") >= F.col("_cut")
-    out = rows.groupBy(*key).agg(F.first("_n").alias("n"), F.sum(bright.cast("long")).alias("bright"), F.median(F.when(bright, F.col("r"))).alias("_b"), F.median("r").alias("_a"), F.min("r0").alias("r0"))
+    """Median radius of the bright candidates of each circle, of all if few are bright, of none if there are few.
+
+    Quantiles are exact and no circle's candidates meet in one task.
+    """
+    rows = df.select(*key, "brightness", "r", "r0")
+    cuts = _per_key(rows, key, [exact_quantiles(rows, key, "brightness", {"_q": 0.7})])
+    bright = F.col("brightness") >= F.greatest(F.lit(floor), F.col("_q"))
+    rows = staged(with_key_values(rows, cuts, key, "_rows").select(*key, "r", "r0", F.coalesce(bright, F.lit(False)).alias("_bright")))
+    medians = [exact_quantiles(rows.where("_bright"), key, "r", {"_b": 0.5}), exact_quantiles(rows, key, "r", {"_a": 0.5})]
+    out = _per_key(rows, key, medians, F.sum(F.col("_bright").cast("long")).alias("bright"), F.min("r0").alias("r0")).withColumnRenamed("_rows", "n")
     r = F.when(F.col("n") < least, F.col("r0")).when(F.col("bright") >= least, F.col("_b")).otherwise(F.col("_a"))
     return out.select(*key, "n", "bright", r.alias("r"))
 
 
 def stabilised_radii(df: DataFrame, key: list[str]) -> DataFrame:
-    """Radii far from the upper half's median take that median; fewer than three stay."""
-    w = W.partitionBy(*key)
-    rows = df.withColumn("_m", F.median("r").over(w)).withColumn("_n", F.count("*").over(w))
-    rows = rows.withColumn("_ref", F.median(F.when(F.col("r") >= F.col("_m"), F.col("r"))).over(w))
+    """Radii far from the upper half's median take that median; fewer than three stay. Medians are exact, no key meets in one task."""
+    medians = _per_key(df, key, [exact_quantiles(df, key, "r", {"_m": 0.5})])
+    upper = with_key_values(df.select(*key, "r"), medians, key, "_rows").where(F.col("r") >= F.col("_m"))
+    told = _per_key(df, key, [medians.drop("_rows"), exact_quantiles(upper.select(*key, "r"), key, "r", {"_ref": 0.5})])
+    rows = with_key_values(df, told, key, "_rows")
     out = ~F.expr("r between _ref * 0.70D and _ref * 1.30D")
-    return rows.withColumn("r", F.when((F.col("_n") >= 3) & (F.col("_m") > 0) & out, F.col("_ref")).otherwise(F.col("r"))).drop("_m", "_n", "_ref")
+    return rows.withColumn("r", F.when((F.col("_rows") >= 3) & (F.col("_m") > 0) & out, F.col("_ref")).otherwise(F.col("r"))).drop("_m", "_rows", "_ref")
 
 
 def nearest_candidate(circles: DataFrame, candidates: DataFrame, key: list[str], gate: float, weight: float) -> DataFrame:
