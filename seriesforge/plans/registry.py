@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesforge.plans import circles, extras, files, imaging, prepare, rasters, series, tables
+from seriesforge.plans import circles, extras, files, imaging, prepare, rasters, series, streams, tables
 
-MODULES = (series, tables, circles, rasters, imaging, prepare, extras, files)
+MODULES = (series, tables, circles, rasters, imaging, prepare, extras, files, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,41 +1,151 @@
-"""Streaming twins of the series operators: state kept by recording."""
+"""Streaming twins of the series operators: typed state kept by recording, and timers of event time."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "recording string, frame_id long, cx double, cy double"
-STATE = "frame_id long, cx double, cy double"
+#: Typed state needs this store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def tracked_stream(frames: DataFrame, x0: float, y0: float, alpha: float = 0.70) -> DataFrame:
+def _typed(df: DataFrame) -> None:
+    """Sets the state store of the session to the one that typed state needs."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+
+
+class _Tracker(StatefulProcessor):
+    """The last frame and centre of a recording."""
+
+    def __init__(self, x0: float, y0: float, alpha: float) -> None:
+        self.start, self.alpha = (None, x0, y0), alpha
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "frame_id long, cx double, cy double")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[-1]
+        self.at.update((int(row["frame_id"]), float(row["cx"]), float(row["cy"])))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, cx, cy = self.at.get() if self.at.exists() else self.start
+        frames = pd.concat(list(rows)).dropna(subset=["frame_id"]).sort_values("frame_id", kind="stable").drop_duplicates("frame_id")
+        if last is not None:
+            frames = frames[frames["frame_id"] > last]
+        if len(frames):
+            share = np.full(len(frames), self.alpha)
+            share[0] = share[0] if last is not None else 1.0
+            # Shifts add up from the centre that the last batch left.
+            xs = np.cumsum(np.concatenate([[cx], share * frames["dx"].to_numpy()]))[1:]
+            ys = np.cumsum(np.concatenate([[cy], share * frames["dy"].to_numpy()]))[1:]
+            self.at.update((int(frames["frame_id"].iloc[-1]), float(xs[-1]), float(ys[-1])))
+            yield pd.DataFrame({"recording": key[0], "frame_id": frames["frame_id"].astype("int64"), "cx": xs, "cy": ys})
+
+    def close(self) -> None:
+        pass
+
+
+def tracked_stream(frames: DataFrame, x0: float, y0: float, alpha: float = 0.70, start: DataFrame | None = None) -> DataFrame:
     """Centres that follow each frame's shift (recording, frame_id, dx, dy), across micro-batches.
 
     The first frame moves the centre by its whole shift, later ones by ``alpha``
-    of theirs. State is one row a recording. Frames of a recording must arrive
-    in order between batches; inside a batch they are sorted, and a frame at or
-    before the last one seen counts as a repeat and is dropped, so a restarted
-    source adds nothing twice.
+    of theirs. State is one row a recording; ``start`` (recording, frame_id, cx,
+    cy) is where recordings stood that were tracked before. Frames of a recording
+    must arrive in order between batches; inside a batch they are sorted, and a
+    frame at or before the last one seen counts as a repeat and is dropped, so a
+    restarted source adds nothing twice. Rows without a frame are left out.
     """
+    _typed(frames)
+    state = start.select("recording", F.col("frame_id").cast("long"), F.col("cx").cast("double"), F.col("cy").cast("double")).groupBy("recording") if start is not None else None
+    rows = frames.select("recording", F.col("frame_id").cast("long"), F.col("dx").cast("double"), F.col("dy").cast("double"))
+    kind = rows.schema["recording"].dataType.simpleString()
+    return rows.groupBy("recording").transformWithStateInPandas(_Tracker(x0, y0, alpha), f"recording {kind}, frame_id long, cx double, cy double", "append", "None", state)
 
-    def follow(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, cx, cy = state.get if state.exists else (None, x0, y0)
-        out = []
-        for row in pd.concat(list(parts)).sort_values("frame_id").itertuples():
-            if last is not None and row.frame_id <= last:
-                continue
-            share = 1.0 if last is None else alpha
-            cx, cy, last = cx + share * row.dx, cy + share * row.dy, int(row.frame_id)
-            out.append((key[0], last, cx, cy))
-        if last is not None:
-            state.update((last, cx, cy))
-        yield pd.DataFrame(out, columns=["recording", "frame_id", "cx", "cy"])
 
-    return frames.groupBy("recording").applyInPandasWithState(follow, OUTPUT, STATE, "append", "NoTimeout")
+class _Sessions(StatefulProcessor):
+    """The points of a series that are not final yet, its open run, and its longest closed run."""
+
+    def __init__(self, gap: float, idle: int) -> None:
+        self.gap, self.idle = gap, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        point = "ms long, place long, value double"
+        self.handle = handle
+        self.pending, self.run, self.best = (handle.getListState(name, point) for name in ("pending", "run", "best"))
+        self.seen = handle.getValueState("seen", "clusters long, best long, last long")
+
+    def _settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        """Points up to the watermark join the open run or close it; a series that has been still for long is given out."""
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.pending.get()) if self.pending.exists() else []
+        ready = [p for p in waiting if p[0] <= now]
+        clusters, best_at, last = self.seen.get() if self.seen.exists() else (0, -1, 0)
+        if ready:
+            run = list(self.run.get()) if self.run.exists() else []
+            best = list(self.best.get()) if self.best.exists() else []
+            for p in ready:
+                if run and abs(p[2] - run[-1][2]) > self.gap:
+                    if len(run) > len(best):
+                        best, best_at = run, clusters
+                    run, clusters = [], clusters + 1
+                run.append(p)
+            last = max(last, ready[-1][0])
+            waiting = waiting[len(ready) :]
+            self.run.put(run)
+            if best:
+                self.best.put(best)
+            self.pending.clear()
+            if waiting:
+                self.pending.put(waiting)
+            self.seen.update((clusters, best_at, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if waiting:
+            self.handle.registerTimer(waiting[0][0])
+        elif now < last + self.idle:
+            self.handle.registerTimer(last + self.idle)
+        else:
+            run = list(self.run.get()) if self.run.exists() else []
+            best = list(self.best.get()) if self.best.exists() else []
+            if len(run) > len(best):
+                best, best_at = run, clusters
+            for state in (self.pending, self.run, self.best, self.seen):
+                state.clear()
+            if best:
+                yield pd.DataFrame({"series": key[0], "place": [p[1] for p in best], "value": [p[2] for p in best], "cluster": best_at})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows)).dropna(subset=["ms", "value"])
+        if len(fresh):
+            self.pending.appendList([(int(a), int(b), float(c)) for a, b, c in zip(fresh["ms"], fresh["place"], fresh["value"])])
+        yield from self._settle(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, timerValues)
+
+    def close(self) -> None:
+        pass
+
+
+def gap_sessions(points: DataFrame, gap: float = 50.0, late: str = "10 seconds", idle: int = 60_000) -> DataFrame:
+    """Rows of each series' longest run without a gap (series, place, value, cluster), once the watermark has closed the series.
+
+    Points (series, ts, place, value) are ordered by time, then place, and may
+    come late by up to ``late``; a point is final when the watermark passes it.
+    Final points make runs, parted where the value jumps by more than ``gap``;
+    state holds the points that are not final, the open run and the longest
+    closed one. A series without points for ``idle`` milliseconds of event time
+    is given out and forgotten. Points without time or value are left out.
+    """
+    _typed(points)
+    kind = points.schema["series"].dataType.simpleString()
+    rows = points.withWatermark("ts", late).select("series", "ts", F.unix_millis("ts").alias("ms"), F.col("place").cast("long"), F.col("value").cast("double"))
+    return rows.groupBy("series").transformWithStateInPandas(_Sessions(gap, idle), f"series {kind}, place long, value double, cluster long", "append", "EventTime")
 
 
 def running_means(events: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
