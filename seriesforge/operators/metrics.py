@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesforge.operators.diverse import kept_in_order
+from seriesforge.operators.forest import grown, predictions
 
 
 def regression_metrics(df: DataFrame, group: str) -> DataFrame:
@@ -35,15 +36,8 @@ def principal_components(df: DataFrame, vector: str, k: int = 2) -> DataFrame:
 
 
 def forest_predictions(train: DataFrame, test: DataFrame, vector: str, targets: list[str], trees: int = 100, seed: int = 42) -> DataFrame:
-    """``test`` with a prediction for every target: one forest each, as Spark's have one output."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import RandomForestRegressor
-
-    as_vector = lambda df: df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    fit, out = as_vector(train), as_vector(test)
-    for t in targets:
-        out = RandomForestRegressor(featuresCol="_v", labelCol=t, predictionCol=f"{t}_predicted", numTrees=trees, seed=seed).fit(fit).transform(out)
-    return out.drop("_v")
+    """``test`` with a prediction for every target, from one forest for all of them."""
+    return predictions(test, vector, targets, grown(train, vector, targets, trees, seed=seed))
 
 
 def shape_error(a: F.Column, b: F.Column) -> F.Column:

@@ -213,6 +213,12 @@ def forest_regressor(spark: SparkSession, d: str) -> DataFrame:
     return metrics.forest_predictions(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "embedding", ["label"]).select("vec_id", "label", "label_predicted")
 
 
+def forest_multi_output(spark: SparkSession, d: str) -> DataFrame:
+    """The last four elements of every fifth vector, from the others, by one forest."""
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 60).alias("x"), *(F.get("embedding", F.lit(60 + i)).cast("double").alias(f"t{i}") for i in range(4)))
+    return metrics.forest_predictions(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "x", [f"t{i}" for i in range(4)]).drop("x")
+
+
 QUERIES = {
     "max_projection": (max_projection, f"WITH {PIXELS} SELECT px, py, max(gray) AS gray, count(DISTINCT frame) AS frames FROM pix GROUP BY 1, 2"),
     "disc_mean": (disc_mean, DISC_MEAN),
@@ -230,4 +236,5 @@ QUERIES = {
     "regression_metrics": (regression_metrics, REGRESSION_METRICS),
     "pca_2d": (pca_2d, None),
     "forest_regressor": (forest_regressor, None),
+    "forest_multi_output": (forest_multi_output, None),
 }
