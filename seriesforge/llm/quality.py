@@ -157,9 +157,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of a bounded sample of labelled documents, as many of each label as there are up to FIT_ROWS."""
     known = labels.where("quality in (0, 1)").select("doc_id", "quality")
     sample = sampled(known.where("quality = 0"), FIT_ROWS).unionByName(sampled(known.where("quality = 1"), FIT_ROWS))
-    # At most 2 * FIT_ROWS pairs of numbers.
-    rows = docs.select("doc_id", "text").where(F.char_length("text") <= FIT_CHARS).join(F.broadcast(sample), "doc_id").collect()
-    return train(sorted((r["text"], r["quality"]) for r in rows))
+    rows = docs.select("doc_id", "text").where(F.char_length("text") <= FIT_CHARS).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("x")).collect()  # an id counts once: 2 * FIT_ROWS at most
+    return train(sorted((r["x"]["text"], r["x"]["quality"]) for r in rows))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesforge.llm import common, divergence, line_dedup, resampling
+from seriesforge.llm import common, divergence, exact_dedup, line_dedup, near_dedup, quality, resampling
 from tests.oracle import rows_of, connected
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, term string, rank int"
@@ -178,6 +178,28 @@ def test_only_suspected_lines_go_on(spark):
     assert all(r.n >= 1 for r in found) and sum(r.n for r in found) < 1020
 
 
+# Earlier operators: hot keys and repeated ids
+
+def test_quality_learns_from_an_id_once(spark, monkeypatch):
+    """However often a labelled id is repeated, the driver gets one text of it; rows without id are scored all the same."""
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows: seen.append(rows) or quality.Model(np.ones(quality.TERMS), np.zeros((quality.TERMS, 0)), np.zeros((0, 0)), np.zeros(0), 0.5))
+    docs = documents(spark, [(1, f"text {i}", None, None) for i in range(50)] + [(2, "other", None, None), (None, "no id", None, None), (None, None, None, None)])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    model = quality.fitted(docs, labels)
+    assert seen == [[("other", 0), ("text 0", 1)]]
+    assert quality.scored(docs, model).where("doc_id is null").count() == 2
+
+
+@pytest.mark.parametrize("run", [exact_dedup.query, near_dedup.query], ids=["exact", "near"])
+def test_split_paths_of_hot_keys_give_the_same_rows(spark, monkeypatch, run):
+    plain = rows_of(*(lambda df: (df.columns, [tuple(r) for r in df.collect()]))(run(spark, "/root/testdata/sf0.001")))
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(near_dedup, "PARTNERS", 1)
+    split = rows_of(*(lambda df: (df.columns, [tuple(r) for r in df.collect()]))(run(spark, "/root/testdata/sf0.001")))
+    assert split == plain
+
+
 # 13: importance resampling
 
 def brute_resampling(rows, target, percent=25):
