@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesforge.functions.quantiles import with_key_values
+from seriesforge.functions.staging import staged
 from seriesforge.operators.diverse import kept_in_order
 from seriesforge.operators.forest import grown, predictions
 
@@ -15,8 +17,8 @@ def regression_metrics(df: DataFrame, group: str) -> DataFrame:
     Rows are (output, y, p). Sums alone decide, so one pass over the rows does;
     sums of squares are taken around each output's mean, found first.
     """
-    means = df.groupBy(group).agg(F.avg("y").alias("_m"))
-    rows = df.join(F.broadcast(means), group)  # one row an output
+    means = staged(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.avg("y").alias("_m"), F.count("*").alias("_rows")))
+    rows = with_key_values(df, means, [group], "_rows")
     e = F.col("y") - F.col("p")
     per = rows.groupBy(group).agg(F.sum(e * e).alias("sse"), F.sum((F.col("y") - F.col("_m")) ** 2).alias("sst"), F.sum(F.abs(e)).alias("sae"), F.count("*").alias("n"))
     return per.agg(

@@ -9,8 +9,8 @@ from seriesforge.functions.scalar import half_even
 
 
 def max_projection(pixels: DataFrame) -> DataFrame:
-    """The brightest value at each place over all frames, and how many frames there are."""
-    return pixels.groupBy("px", "py").agg(F.max("gray").alias("gray"), F.countDistinct("frame").alias("frames"))
+    """The brightest value at each place over all frames, and how many frames there are; a frame holds a place once."""
+    return pixels.groupBy("px", "py").agg(F.max("gray").alias("gray"), F.count("frame").alias("frames"))
 
 
 def window_rows(places: DataFrame, x: Column, y: Column, half: Column, width: int, height: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesforge.functions.staging import staged
 from seriesforge.operators import series as s
 from seriesforge.plans.common import ORDER_OF_LINES, USER_POLYLINES, events, order_polylines, r6, table, user_polylines
 
@@ -38,7 +39,7 @@ def resample_40(spark: SparkSession, d: str) -> DataFrame:
 
 def features_scaled(spark: SparkSession, d: str) -> DataFrame:
     """Resampled, turned, and scaled by one range of x and one of y for each event parity of users."""
-    out = s.feature_polyline(user_polylines(spark, d), KEY, ORDER, 20).withColumn("view", F.col("user_id") % 2)
+    out = staged(s.feature_polyline(user_polylines(spark, d), KEY, ORDER, 20).withColumn("view", F.col("user_id") % 2))  # read for its ranges and for the result
     return s.scaled_coords(out, ["view"], ["x", "y"]).select("user_id", "point", *r6("x", "y"))
 
 
