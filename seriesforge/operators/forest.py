@@ -3,8 +3,8 @@
 Features are cut at quantiles into a few bins, once. Then every level of all
 trees is one pass over the rows: tasks send each row down the trees grown so
 far and add its weight and its targets to histograms by tree, node, feature and
-bin; histograms meet by tree, node and feature, where the best cut is found for
-all outputs together. What reaches the driver is one row for each open node.
+bin; histograms meet by tree and node, where the best cut is found for all
+features and outputs together. What reaches the driver is one row for each open node.
 A pass holds ``MOST_BYTES`` of histograms in a task; where all trees need more,
 groups of trees take turns.
 
@@ -77,17 +77,15 @@ def _rows(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def best_cut(hist: np.ndarray, least: float) -> tuple[float, int]:
-    """The gain of the best cut of one feature's histogram (bins, 1 + outputs), and the last bin on its left."""
-    left = np.cumsum(hist, axis=0)[:-1]
-    right = hist.sum(axis=0) - left
-    fits = (left[:, 0] >= least) & (right[:, 0] >= least)
-    if not fits.any():
-        return 0.0, -1
+def best_cut(hist: np.ndarray, least: float) -> tuple[int, float, int]:
+    """The feature of the best cut of a node's histograms (features, bins, 1 + outputs), its gain, and the last bin on its left; -1 if none fits."""
+    left = np.cumsum(hist, axis=1)[:, :-1]
+    whole = hist.sum(axis=1, keepdims=True)
+    right = whole - left
     part = lambda s: (s[..., 1:] ** 2).sum(axis=-1) / np.maximum(s[..., 0], 1e-300)
-    gain = np.where(fits, part(left) + part(right) - part(hist.sum(axis=0)), -np.inf)
-    at = int(np.argmax(gain))
-    return float(gain[at]), at
+    gain = np.where((left[..., 0] >= least) & (right[..., 0] >= least), part(left) + part(right) - part(whole), -np.inf)
+    feature, at = np.unravel_index(int(np.argmax(np.round(gain, 9))), gain.shape)
+    return (int(feature), float(gain[feature, at]), int(at)) if np.isfinite(gain[feature, at]) else (0, 0.0, -1)
 
 
 def grown(df: DataFrame, vector: str, targets: list[str], trees: int = 100, depth: int = 5, bins: int = 32, least: float = 1.0, bag: bool = True, seed: int = 42) -> Forest:
@@ -136,31 +134,29 @@ def grown(df: DataFrame, vector: str, targets: list[str], trees: int = 100, dept
                         held[i, ..., k] += np.bincount(flat, np.repeat(v, width), first * width * bins).reshape(first, width, bins)
             for i, t in enumerate(some):
                 for n in np.flatnonzero(held[i, :, 0, :, 0].sum(axis=1) > 0):
-                    columns = [pa.array([t] * width, pa.int32()), pa.array([int(n) + first] * width, pa.int32()), pa.array(range(width), pa.int32()), pa.array([held[i, n, f].tobytes() for f in range(width)], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["tree", "node", "f", "hist"])
+                    columns = [pa.array([t], pa.int32()), pa.array([int(n) + first], pa.int32()), pa.array([held[i, n].tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["tree", "node", "hist"])
 
         return run
 
     def cut(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((bins, 1 + outputs))
+        total = np.zeros((width, bins, 1 + outputs))
         for part in parts:
             for raw in part["hist"].to_pylist():
                 total += np.frombuffer(raw).reshape(total.shape)
-        gain, at = best_cut(total, least)
-        left, whole = total[: at + 1].sum(axis=0), total.sum(axis=0)
+        f, gain, at = best_cut(total, least)
+        left, whole = total[f, : at + 1].sum(axis=0), total[f].sum(axis=0)
         lists = [pa.array([s.tolist()], pa.list_(pa.float64())) for s in (left, whole)]
-        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([gain]), pa.array([at], pa.int32()), *lists], ["tree", "node", "f", "gain", "at", "left", "whole"])
+        yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], pa.int32()) for k in key), pa.array([f], pa.int32()), pa.array([gain]), pa.array([at], pa.int32()), *lists], ["tree", "node", "f", "gain", "at", "left", "whole"])
 
     schema = "tree int, node int, f int, gain double, at int, left array<double>, whole array<double>"
     for level in range(depth):
         group = max(1, MOST_BYTES // ((1 << level) * width * bins * (1 + outputs) * 8))
         for begin in range(0, trees, group):
             some = range(begin, min(trees, begin + group))
-            found = rows.mapInArrow(histograms(level, some), "tree int, node int, f int, hist binary")
-            found = found.groupBy("tree", "node", "f").applyInArrow(cut, schema)
-            best = F.min_by(F.struct("f", "gain", "at", "left", "whole"), F.struct(-F.round("gain", 9), F.col("f")))
-            for r in found.groupBy("tree", "node").agg(best.alias("b")).collect():  # a row for each open node
-                t, n, b = r["tree"], r["node"], r["b"]
+            found = rows.mapInArrow(histograms(level, some), "tree int, node int, hist binary")
+            for b in found.groupBy("tree", "node").applyInArrow(cut, schema).collect():  # a row for each open node
+                t, n = b["tree"], b["node"]
                 left, whole = np.array(b["left"]), np.array(b["whole"])
                 if level == 0:
                     forest.value[t, n] = whole[1:] / whole[0]
