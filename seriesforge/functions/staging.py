@@ -31,3 +31,23 @@ def staged(df: DataFrame) -> DataFrame:
 def new_path(spark: SparkSession) -> str:
     """A path for a table of its own in the shared folder."""
     return f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+class Scratch:
+    """Tables that a job needs while it runs only, in a folder of their own below the shared one, deleted together."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.tables = spark, new_path(spark), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """The rows, written as Parquet and read from there."""
+        self.tables += 1
+        path = f"{self.path}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Deletes the tables; no frame that reads one may be used from here on."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables = 0

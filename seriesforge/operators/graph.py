@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.functions.staging import staged
+from seriesforge.functions.staging import Scratch, staged
 
 
 def neighbours(pixels: DataFrame, key: list[str], x: str = "px", y: str = "py") -> DataFrame:
@@ -48,13 +48,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars: edges never grow in number, nothing
     reaches the driver but whether a round left anything to do, and each round
-    is staged so that lineage stays short. Edges to oneself are dropped.
+    is written so that lineage stays short, and the one before it deleted. Edges
+    to oneself are dropped.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b")
+    before = None
     while True:
-        edges = staged(_small_star(_large_star(edges)))
+        now = Scratch(edges.sparkSession)
+        edges = now.put(_small_star(_large_star(edges)))
+        if before is not None:
+            before.clear()
         if _done(edges):
             break
+        before = now
     ends = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("component")), F.struct(F.col("b").alias("id"), F.col("b").alias("component")))
     return edges.select(F.explode(ends).alias("x")).select("x.id", "x.component").distinct()
 
