@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.functions.staging import new_path, staged  # noqa: F401 - used by the operators beside this module
+from seriesforge.functions.staging import Scratch, new_path, staged  # noqa: F401 - used by the operators beside this module
 
 #: A key that holds at least this part of all rows is hot; there are at most as many of them as this number says.
 HOT_PART = 2_000

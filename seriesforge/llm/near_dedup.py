@@ -15,8 +15,10 @@ rarest shingles of their sets (of two sets at the threshold, these prefixes
 must meet), which skips passages that many documents share. Links are
 confirmed on the full sets. No bucket, group, link or component list is
 collected, in a task or on the driver. Hot keys (a very common shingle, bucket
-or set) are split: their one row is broadcast, their number being bounded, and
-the partners of one document are dealt to parts.
+or set) are split: their one row is broadcast, their number being bounded. The
+partners of one document, on either side of a pair, are dealt to parts, and so
+are the documents that meet on one rare shingle. Tables that only the
+search needs are deleted when it ends.
 
 Defined results: a null text counts as empty; a document without words is its
 own group; a row without id stands in no link, but is dropped if its set is
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import looked_up, map_rows, mixed, shingle_hashes, staged, table, texts_of, word_hashes
+from seriesforge.llm.common import Scratch, looked_up, map_rows, mixed, shingle_hashes, staged, table, texts_of, word_hashes
 from seriesforge.operators.graph import components
 
 #: Slots to a band.
@@ -45,7 +47,7 @@ MISS = 1e-7
 #: Shingles handled at once in a task.
 AT_ONCE = 120_000
 RANK = np.uint64(48)
-#: Partners of one document that are compared with it in one group.
+#: Partners of one document, or documents of one shingle, that meet in one group.
 PARTNERS = 500
 
 
@@ -137,7 +139,15 @@ def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return map_rows(texts, "text", batch, "id long, set binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _beside(pairs: DataFrame, sets: DataFrame, key: str, other: str, held: Scratch) -> DataFrame:
+    """``pairs`` with ``set_<key>``: the partners of one document are dealt to parts, and its set with them."""
+    parts = held.put(pairs.groupBy(key).agg(F.count("*").alias("pairs")).withColumn("parts", F.ceil(F.col("pairs") / PARTNERS)))
+    dealt = looked_up(pairs, parts, key, "pairs").withColumn("part", F.pmod(F.xxhash64(other), F.col("parts"))).drop("pairs", "parts")
+    own = sets.select(F.col("id").alias(key), F.col("set").alias(f"set_{key}")).join(parts, key)
+    return dealt.join(own.select(key, f"set_{key}", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), [key, "part"]).drop("part")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, held: Scratch) -> DataFrame:
     """Those pairs (a, b) whose full sets meet the threshold."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -148,12 +158,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep.append(100 * n >= percent * (len(p) + len(q) - n))
         return b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # The partners of one document are dealt to parts, and its set with them.
-    parts = staged(pairs.groupBy("a").agg(F.count("*").alias("pairs")).withColumn("parts", F.ceil(F.col("pairs") / PARTNERS)))
-    joined = looked_up(pairs, parts, "a", "pairs").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "b", "part")
-    joined = joined.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    held = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")).join(parts, "a")
-    joined = joined.join(held.select("a", "set_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), ["a", "part"])
+    pairs = held.put(pairs)  # counted for either side before it is joined
+    joined = _beside(_beside(pairs, sets, "b", "a", held), sets, "a", "b", held)
     return map_rows(joined.select("a", "b", "set_a", "set_b"), "set_b", batch, "a long, b long")
 
 
@@ -171,7 +177,7 @@ def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_fits("n", "hub_n", percent)).select(F.col("hub_id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Every pair of different components that may reach the threshold: their rarest shingles meet.
 
     Shingles are put in one order for all sets: first those that a single
@@ -186,30 +192,32 @@ def prefix_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         take = pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held]))
         return pa.RecordBatch.from_arrays([b["id"].take(take), b["component"].take(take), pa.array(np.concatenate([*held, np.zeros(0, np.int64)]))], ["id", "component", "shingle"])
 
-    here = rows.select("id", "component", "n").distinct()
+    here = scratch.put(rows.select("id", "component", "n").distinct())
     held = map_rows(sets.join(here, "id").select("id", "component", "set"), "set", explode, "id long, component long, shingle long")
     often = held.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("p"), F.max("component").alias("q")).where("p != q")
-    shared = looked_up(held, staged(often.select("shingle", "often")), "shingle", "often").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
+    shared = looked_up(held, scratch.put(often.select("shingle", "often")), "shingle", "often").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     first = shared.join(here, "id").select("id", "component", "n", alone.alias("alone"), F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int")).alias("shared"))
     first = first.select("id", "component", "n", "alone", F.posexplode("shared").alias("at", "x"))
     # ``left``: the most that this set can share from here on.
-    first = staged(first.select("id", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), "x.shingle"))
+    first = scratch.put(first.select("id", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), "x.shingle"))
     several = first.groupBy("shingle").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows")).where("p != q")
-    first = staged(looked_up(first, staged(several.select("shingle", "rows")), "shingle", "rows"))
-    other = first.select("shingle", F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+    first = scratch.put(looked_up(first, scratch.put(several.select("shingle", "rows")), "shingle", "rows").withColumn("parts", F.ceil(F.col("rows") / PARTNERS)))
+    # One side is dealt to parts of a shingle, the other meets each of them.
+    every = first.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    other = first.select(F.col("shingle").alias("shingle_b"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part_b"), F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
     enough = (100 + percent) * F.least("left", "left_b") >= percent * (F.col("n") + F.col("n_b"))
-    pairs = first.join(other, (first["shingle"] == other["shingle"]) & (F.col("component") < F.col("component_b")) & enough)
+    pairs = every.join(other, (F.col("shingle") == F.col("shingle_b")) & (F.col("part") == F.col("part_b")) & (F.col("component") < F.col("component_b")) & enough)
     return pairs.select(F.col("id").alias("a"), "b").distinct()
 
 
-def mixed_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+def mixed_rows(rows: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Rows of buckets that hold several components, with those components and the bucket's size."""
     if labels is not None:
         rows = rows.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = rows.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("size")).where("p != q")
-    return looked_up(rows.drop("size"), staged(several.select("bucket", "size")), "bucket", "size").select("bucket", "id", "n", "component", "size")
+    return looked_up(rows.drop("size"), scratch.put(several.select("bucket", "size")), "bucket", "size").select("bucket", "id", "n", "component", "size")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -217,22 +225,24 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     signatures = staged(signed(docs, words, percent))
     classes = signatures.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"), F.count("*").alias("rows"))
     rows = classes.select(F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), F.explode("x.bands").alias("bucket"))
-    rows = staged(mixed_rows(rows.withColumn("component", F.col("id")), None))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.put(mixed_rows(rows.withColumn("component", F.col("id")), None, scratch))
     labels = None
     if not rows.isEmpty():
         ids = rows.select("id").distinct()
-        sets = staged(set_table(docs, ids, words).distinct())
-        links = staged(linked(star_pairs(rows, percent), sets, percent))
+        sets = scratch.put(set_table(docs, ids, words).distinct())
+        links = scratch.put(linked(star_pairs(rows, percent), sets, percent, scratch))
         labels = components(links)
-        rest = staged(mixed_rows(rows, labels))
+        rest = scratch.put(mixed_rows(rows, labels, scratch))
         if not rest.isEmpty():
-            more = staged(linked(prefix_pairs(rest, sets, percent), sets, percent))
+            more = scratch.put(linked(prefix_pairs(rest, sets, percent, scratch), sets, percent, scratch))
             if not more.isEmpty():
                 labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.select("set_key", F.col("x.doc_id").alias("id"), "rows")
     if labels is not None:
         named = named.join(labels, "id", "left").withColumn("id", F.coalesce("component", "id"))
     named = staged(named.select("set_key", F.col("id").alias("component_id"), "rows"))
+    scratch.clear()
     out = signatures.select("doc_id", "n_shingles", "set_key")
     out = looked_up(out.where("set_key is not null"), named, "set_key", "rows", "left").drop("rows").unionByName(out.where("set_key is null").withColumn("component_id", F.lit(None).cast("long")))
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
