@@ -175,6 +175,15 @@ def test_near_groups_without_central_member(spark):
         near_dedup.star_pairs = hidden
 
 
+def test_exact_join_in_parts_finds_every_link(spark, monkeypatch):
+    """Documents of one rare shingle, and partners on either side of a pair, are dealt to parts of two."""
+    monkeypatch.setattr(near_dedup, "star_pairs", lambda rows, percent: rows.sparkSession.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(near_dedup, "PARTNERS", 2)
+    texts = copies(9)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(documents(spark, texts), 3, 85).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(list(enumerate(texts)), 3, 85).items()}
+
+
 def test_super_min_hash_estimates_similarity():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 2**63, 300, dtype=np.uint64)
