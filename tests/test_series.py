@@ -161,3 +161,50 @@ def test_preparation_reads_all_orders_and_events(spark):
     ends = keys.agg(F.floor(F.max("l_orderkey") / 800)).first()[0]
     for t in (raw, light):
         assert {f"rec{i}" for i in range(ends + 1)} <= {r.recording for r in t.select("recording").distinct().collect()}
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_frames_as_arrays_equal_series_of_points(spark, batch):
+    """Series of many lengths, missing rows at their ends and between, cut anywhere by batches."""
+    rng, rows = np.random.default_rng(2), []
+    for g, n in enumerate([1, 2, 5, 6, 7, 8, 15, 30, 31, 32, 45, 46, 61, 62, 130, 20, 40]):
+        for i in range(n):
+            there = rng.random() < (0.0 if g == 15 else 0.6) and not (g == 16 and (i < 10 or i > 25))
+            rows.append((f"s{g}", i * 3, [float(v) for v in rng.integers(0, 50, 3)] if there else None))
+    df = spark.createDataFrame(rows, "g string, i long, v array<double>")
+    long = df.select("g", "i", F.explode(F.array(*map(F.lit, range(3)))).alias("p"), "v").withColumn("v", F.get("v", F.col("p")))
+    want = s.savgol(s.interpolated(long, ["g", "p"], ["i"], "v", "v"), ["g", "p"], ["i"], "v", "f", 2, 7).orderBy("g", "i", "p").toPandas()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = s.smoothed_frames(df, ["g"], "i", ["v"], 2, 7).toPandas().sort_values(["g", "i"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == len(rows)
+    flat = lambda c: np.concatenate([np.full(3, np.nan) if v is None else v for v in out[c]])
+    np.testing.assert_allclose(flat("v"), want.v, atol=1e-9)
+    np.testing.assert_allclose(flat("v_smooth"), want.f, atol=1e-9)
+
+
+def test_even_frames_equal_features_of_points(spark):
+    rng = np.random.default_rng(3)
+    curves = [[[float(v) for v in rng.integers(0, 4, 9)] for _ in range(2)] for _ in range(60)] + [[[2.0] * 9, [1.0] * 9]]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(curves)], "g long, xs array<double>, ys array<double>")
+    long = df.select("g", F.posexplode(F.arrays_zip("xs", "ys")).alias("i", "p")).select("g", "i", "p.xs", "p.ys").withColumnsRenamed({"xs": "x", "ys": "y"})
+    want = s.feature_polyline(long, ["g"], ["i"], 20).orderBy("g", "point").toPandas()
+    out = s.feature_frames(df, ["g"], "xs", "ys", 20).toPandas().sort_values("g")
+    for c in ("x", "y"):
+        np.testing.assert_allclose(np.concatenate(list(out[c])), want[c], atol=1e-9)
+
+
+def test_clean_points_shuffles_texts_only(spark):
+    """Two exchanges: lines by order, texts by recording and view; no point is dealt again."""
+    df = prepare.clean_points(prepare.raw_curves(spark, "/root/testdata/sf0.001"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+
+
+def test_equal_rows_of_a_frame_count_once(spark):
+    curve = "[(9, 1), (6, 2), (3, 3)]"
+    rows = [("r", "top", str(i), curve) for i in range(9)]
+    schema = "recording string, view string, Frame_ID string, Spine_Coords string"
+    once, twice = (prepare.clean_points(spark.createDataFrame(r, schema)).orderBy("frame_id", "point").collect() for r in (rows, rows + rows[:4]))
+    assert len(once) == 360 and once == twice
