@@ -64,10 +64,11 @@ def intensity_videos(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def segmentation_videos(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
-    """Files that a segmentation run takes, with ``rank``: smallest first, then by path."""
+    """Files that a segmentation run takes, with ``rank``: smallest first, then by path, then by the other columns in turn, so that no tie is left open."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     found = files.where(F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*VIDEO_EXTENSIONS) & ~_any(name, SEGMENTATION_EXCLUDED))
-    return positioned(found, [size, F.lower(F.col(path)), path], "rank").withColumn("rank", F.col("rank") + 1)
+    others = [c for c in files.columns if c not in (size, path)]
+    return positioned(found, [size, F.lower(F.col(path)), path, *others], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def segmented_sources(files: DataFrame, path: str = "path") -> DataFrame:

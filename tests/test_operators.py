@@ -194,3 +194,10 @@ def test_patches_outside_the_frame_are_zero(spark):
     centres = spark.createDataFrame([(0, 0, 4.0, 4.0, 2.0), (1, 0, 4.0, 4.0, 2.0), (1, 1, 60.0, 4.0, 2.0)], "frame long, circle long, x double, y double, r double")
     out = {(r.frame, r.circle, r.point): r.value for r in raster.patch_means(pixels, raster.sample_points(centres, ["frame", "circle"]), 9, 9).collect()}
     assert out == {(f, c, p): 0.0 if c else 10.0 * (f + 1) for f, c in ((0, 0), (1, 0), (1, 1)) for p in range(1, 10)}
+
+
+def test_files_of_one_path_and_size_are_ranked_by_the_other_columns(spark):
+    rows = [(f"/d/{i % 3}.mp4", 7, 100 - i) for i in range(90)]
+    df = spark.createDataFrame(rows, "path string, size long, page_id long")
+    ranks = [(r.path, r.page_id) for r in files.segmentation_videos(df.repartition(7)).orderBy("rank").collect()]
+    assert ranks == sorted((p, i) for p, _, i in rows)
