@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +93,10 @@ def component_pixels(pixels: DataFrame, frame: str, least: int) -> DataFrame:
     return named.join(large, "component", "left_semi").select(frame, "px", "py")
 
 
+#: Steps to the places around a pixel.
+_AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+
+
 def _farthest(start: int, around: dict[int, list[int]]) -> tuple[int, dict[int, int | None]]:
     """The pixel farthest from ``start``, of equals the least, and every reached pixel's parent, the least of those one step nearer."""
     parent, front = {start: None}, [start]
@@ -110,25 +116,31 @@ def longest_path(pixels: DataFrame, frame: str) -> DataFrame:
     """Pixels of the longest route through each frame's tree of pixels: frame, step, id.
 
     The farthest pixel from some end, then the farthest from that one, and the
-    way between; the least pixel id breaks ties. Frames are grouped as such: one
-    holds no more pixels than its raster, however many frames there are.
+    way between; the least pixel id breaks ties. Frames are grouped to a row of
+    their pixels each, and tasks take batches of frames: one frame holds no more
+    pixels than its raster, however many frames there are.
     """
     own = pixels.select(F.col(frame).cast("long").alias("frame"), F.col("px").cast("long"), F.col("py").cast("long")).dropna()
+    grouped = own.groupBy("frame").agg(F.collect_set(F.struct("px", "py")).alias("_at"))
 
-    def routes(rows: pd.DataFrame) -> pd.DataFrame:
-        f = int(rows["frame"].iloc[0])
-        places = set(zip(rows["px"].tolist(), rows["py"].tolist()))
+    def route(f: int, places: list[tuple[int, int]]) -> list[int]:
         number = {(x, y): (f << 40) + (y << 20) + x for x, y in places}
-        around = {n: [number[x + i, y + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (x + i, y + j) in number] for (x, y), n in number.items()}
-        ends = [n for n, near in around.items() if len(near) == 1]
-        start, _ = _farthest(min(ends or around), around)
+        around = {n: [number[q] for q in ((x + i, y + j) for i, j in _AROUND) if q in number] for (x, y), n in number.items()}
+        start, _ = _farthest(min((n for n, near in around.items() if len(near) == 1), default=min(around)), around)
         at, parent = _farthest(start, around)
         path = [at]
         while (at := parent[at]) is not None:
             path.append(at)
-        return pd.DataFrame({"frame": f, "step": range(len(path) - 1, -1, -1), "id": path})
+        return path[::-1]
+
+    def routes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ends, (xs, ys) = part["_at"].offsets.to_pylist(), (v.to_pylist() for v in part["_at"].values.flatten())
+            paths = [(f, route(f, list(zip(xs[a:b], ys[a:b])))) for f, a, b in zip(part["frame"].to_pylist(), ends, ends[1:])]
+            columns = ([f for f, p in paths for _ in p], [i for _, p in paths for i in range(len(p))], [n for _, p in paths for n in p])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], ["frame", "step", "id"])
 
-    out = own.groupBy("frame").applyInPandas(routes, "frame long, step int, id long")
+    out = grouped.mapInArrow(routes, "frame long, step int, id long")
     return out.select(F.col("frame").alias(frame), "step", "id")
 
 

@@ -201,3 +201,16 @@ def test_files_of_one_path_and_size_are_ranked_by_the_other_columns(spark):
     df = spark.createDataFrame(rows, "path string, size long, page_id long")
     ranks = [(r.path, r.page_id) for r in files.segmentation_videos(df.repartition(7)).orderBy("rank").collect()]
     assert ranks == sorted((p, i) for p, _, i in rows)
+
+
+def test_longest_paths_are_found_in_batches_of_frames(spark):
+    """Frames share a task's batches; no group of its own is made for each."""
+    rows = [(f, x, f % 5) for f in range(50) for x in range(f + 1)]
+    out = graph.longest_path(spark.createDataFrame(rows, "frame long, px long, py long"), "frame")
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in out.orderBy("frame", "step").collect():
+        got.setdefault(r.frame, []).append(r.id)
+    for f in range(50):
+        line = [(f << 40) + (f % 5 << 20) + x for x in range(f + 1)]
+        assert got[f] in (line, line[::-1])
