@@ -19,6 +19,17 @@ def _typed(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
+def _columns(rows: Iterator[pd.DataFrame], names: list[str]) -> list[np.ndarray]:
+    """The columns of a key's rows, without rows that lack the first: keys are many and their rows few, so frames are not joined or sorted as such."""
+    parts = [[part[n].to_numpy() for n in names] for part in rows]
+    columns = [p[0] if len(p) == 1 else np.concatenate(p) for p in zip(*parts)]
+    if columns[0].dtype.kind in "fO":  # whole numbers that hold nulls
+        there = ~pd.isna(columns[0])
+        columns = [c[there] for c in columns]
+        columns[0] = columns[0].astype("int64")
+    return columns
+
+
 class _Tracker(StatefulProcessor):
     """The last frame and centre of a recording."""
 
@@ -33,18 +44,20 @@ class _Tracker(StatefulProcessor):
         self.at.update((int(row["frame_id"]), float(row["cx"]), float(row["cy"])))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, cx, cy = self.at.get() if self.at.exists() else self.start
-        frames = pd.concat(list(rows)).dropna(subset=["frame_id"]).sort_values("frame_id", kind="stable").drop_duplicates("frame_id")
+        state = self.at.get()
+        last, cx, cy = self.start if state is None else state
+        frame, dx, dy = _columns(rows, ["frame_id", "dx", "dy"])
+        frame, first = np.unique(frame, return_index=True)  # sorted; of repeats the first
         if last is not None:
-            frames = frames[frames["frame_id"] > last]
-        if len(frames):
-            share = np.full(len(frames), self.alpha)
+            frame, first = frame[frame > last], first[frame > last]
+        if len(frame):
+            share = np.full(len(frame), self.alpha)
             share[0] = share[0] if last is not None else 1.0
             # Shifts add up from the centre that the last batch left.
-            xs = np.cumsum(np.concatenate([[cx], share * frames["dx"].to_numpy()]))[1:]
-            ys = np.cumsum(np.concatenate([[cy], share * frames["dy"].to_numpy()]))[1:]
-            self.at.update((int(frames["frame_id"].iloc[-1]), float(xs[-1]), float(ys[-1])))
-            yield pd.DataFrame({"recording": key[0], "frame_id": frames["frame_id"].astype("int64"), "cx": xs, "cy": ys})
+            xs = np.cumsum(np.concatenate([[cx], share * dx[first]]))[1:]
+            ys = np.cumsum(np.concatenate([[cy], share * dy[first]]))[1:]
+            self.at.update((int(frame[-1]), float(xs[-1]), float(ys[-1])))
+            yield pd.DataFrame({"recording": key[0], "frame_id": frame.astype("int64"), "cx": xs, "cy": ys})
 
     def close(self) -> None:
         pass
@@ -79,15 +92,16 @@ class _Sessions(StatefulProcessor):
         self.pending, self.run, self.best = (handle.getListState(name, point) for name in ("pending", "run", "best"))
         self.seen = handle.getValueState("seen", "clusters long, best long, last long")
 
-    def _settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
+    def _settle(self, key, timerValues, fresh: list[tuple[int, int, float]] | tuple = ()) -> Iterator[pd.DataFrame]:
         """Points up to the watermark join the open run or close it; a series that has been still for long is given out."""
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.pending.get()) if self.pending.exists() else []
+        waiting = sorted([*self.pending.get(), *fresh])
         ready = [p for p in waiting if p[0] <= now]
-        clusters, best_at, last = self.seen.get() if self.seen.exists() else (0, -1, 0)
+        if fresh and not ready:
+            self.pending.appendList(fresh)
+        clusters, best_at, last = self.seen.get() or (0, -1, 0)
         if ready:
-            run = list(self.run.get()) if self.run.exists() else []
-            best = list(self.best.get()) if self.best.exists() else []
+            run, best = list(self.run.get()), list(self.best.get())
             for p in ready:
                 if run and abs(p[2] - run[-1][2]) > self.gap:
                     if len(run) > len(best):
@@ -99,9 +113,10 @@ class _Sessions(StatefulProcessor):
             self.run.put(run)
             if best:
                 self.best.put(best)
-            self.pending.clear()
             if waiting:
                 self.pending.put(waiting)
+            else:
+                self.pending.clear()
             self.seen.update((clusters, best_at, last))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -110,8 +125,7 @@ class _Sessions(StatefulProcessor):
         elif now < last + self.idle:
             self.handle.registerTimer(last + self.idle)
         else:
-            run = list(self.run.get()) if self.run.exists() else []
-            best = list(self.best.get()) if self.best.exists() else []
+            run, best = list(self.run.get()), list(self.best.get())
             if len(run) > len(best):
                 best, best_at = run, clusters
             for state in (self.pending, self.run, self.best, self.seen):
@@ -120,10 +134,9 @@ class _Sessions(StatefulProcessor):
                 yield pd.DataFrame({"series": key[0], "place": [p[1] for p in best], "value": [p[2] for p in best], "cluster": best_at})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows)).dropna(subset=["ms", "value"])
-        if len(fresh):
-            self.pending.appendList([(int(a), int(b), float(c)) for a, b, c in zip(fresh["ms"], fresh["place"], fresh["value"])])
-        yield from self._settle(key, timerValues)
+        ms, place, value = _columns(rows, ["ms", "place", "value"])
+        there = ~pd.isna(value)
+        yield from self._settle(key, timerValues, list(zip(ms[there].tolist(), place[there].astype("int64").tolist(), value[there].astype(float).tolist())))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._settle(key, timerValues)
