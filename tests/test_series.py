@@ -2,12 +2,14 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seriesforge.operators import series as s
+from seriesforge.operators import tables
 from seriesforge.plans import prepare
 
 KEY, ORDER = ["g"], ["i"]
@@ -208,3 +210,41 @@ def test_equal_rows_of_a_frame_count_once(spark):
     schema = "recording string, view string, Frame_ID string, Spine_Coords string"
     once, twice = (prepare.clean_points(spark.createDataFrame(r, schema)).orderBy("frame_id", "point").collect() for r in (rows, rows + rows[:4]))
     assert len(once) == 360 and once == twice
+
+
+def test_only_texts_wait_in_a_sort(spark):
+    """Above the texts' exchange one sort, directly on it, and no aggregate that gathers rows."""
+    plan = prepare.clean_points(prepare.raw_curves(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Exchange ")].splitlines()
+    assert not [line for line in above if "Aggregate" in line]
+    assert [i for i, line in enumerate(above) if "+- Sort [" in line] == [len(above) - 2]
+
+
+def test_texts_of_one_frame_meet(spark):
+    """Equal curves written in two ways count once; different ones give their points in turn."""
+    schema = "recording string, view string, Frame_ID string, Spine_Coords string"
+    points = lambda *texts: tables.frame_spines(spark.createDataFrame([("r", "top", "1", t) for t in texts], schema), ["recording", "view", "Frame_ID"], "Spine_Coords").collect()
+    once = points("[(9, 1), (6, -2.5e0)]")
+    assert [tuple(p) for p in once[0].points] == [(9.0, 1.0), (6.0, -2.5)]
+    assert points("[(9, 1), (6, -2.5e0)]", " [(9,1)(6,\t-2.5e0,),] ", None) == once
+    (both,) = points("[(9, 1), (6, 2), (3, 3)]", "junk", "np.int64(8), np.int64(0), np.int64(7), np.int64(5)")
+    assert [tuple(p) for p in both.points] == [(8.0, 0.0), (9.0, 1.0), (6.0, 2.0), (7.0, 5.0), (3.0, 3.0)]
+    assert [r.points for r in points(None, "junk")] == [[]]
+
+
+def test_curves_of_any_number_of_points_are_taken_evenly():
+    rng = np.random.default_rng(4)
+    curves = [rng.integers(0, 4, (m, 2)).astype(float) for m in [*rng.integers(2, 9, 300), 700, 701]] + [np.full((5, 2), 3.0)]
+    odd = [None, np.zeros((0, 2)), np.ones((1, 2)), np.array([[0, 0], [np.inf, 1]]), np.array([[-1.7e308, 0], [1.7e308, 0]]), np.array([[0, 0], [1e307, 0]])]
+    every = [*curves[:100], *odd, *curves[100:]]
+    x, y = (pa.array([None if c is None else c[:, i].tolist() for c in every], pa.list_(pa.float64())) for i in (0, 1))
+    there, values = s._evened(x.slice(1), y.slice(1), 40)
+    assert list(there) == [not 100 <= i < 106 for i in range(1, len(every))]
+    for c, v in zip(curves[1:], values[there]):
+        np.testing.assert_allclose(v, np.concatenate(polyline(*c.T, 40, False)), atol=1e-9)
+
+
+def test_rounding_without_decimals_equals_rounding(spark):
+    values = [0.0, -0.0, 5e-7, -5e-7, 4e-7, -4e-7, 1.0000005, -1.0000005, 12.3456785, 1e9, -3e12, 1e300, float("nan"), float("inf"), None, *np.random.default_rng(5).normal(0, 90, 5_000).tolist()]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(prepare._r6("v").alias("a"), F.round("v", 6).alias("b")).collect()
+    assert [repr(r.a) for r in rows] == [repr(r.b) for r in rows]
